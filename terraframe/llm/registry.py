@@ -1,6 +1,6 @@
 """The ten queries by name, and the SQL of those that DuckDB can express."""
 
-from . import byte_bpe, language_id
+from . import byte_bpe, language_id, simhash
 
-QUERIES = byte_bpe.QUERIES | language_id.QUERIES
+QUERIES = byte_bpe.QUERIES | language_id.QUERIES | simhash.QUERIES
 ORACLE: dict[str, str] = {}
