@@ -51,7 +51,9 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", order: str =
         return {}
     share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, 2 * SAMPLE_DOCS / n)))])
     draw = F.xxhash64(F.col(order).cast("string"), F.lit(seed))
-    drawn = rows.select(F.col(lang).alias("lang"), draw.alias("h"), F.substring(text, 1, 1 << 16).alias("text")).where(F.pmod("h", F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
+    # a piece from a seeded place of the text
+    at = F.pmod(draw, F.greatest(F.lit(1), F.length(text) - PIECE_BYTES + 1)).cast("int") + 1
+    drawn = rows.select(F.col(lang).alias("lang"), draw.alias("h"), F.substr(F.col(text), at, F.lit(PIECE_BYTES)).alias("text")).where(F.pmod("h", F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
     # on average twice the bound remains; the rest goes by rank
     kept = drawn.groupBy("lang").applyInArrow(_pieces, "lang string, h long, piece binary")
     by: dict[str, list] = {}
@@ -66,9 +68,7 @@ def _pieces(group):
 
     out, got = [], sorted(zip(group["h"].to_pylist(), group["text"].to_pylist(), strict=True))[:SAMPLE_DOCS]
     for h, text in got:
-        b = normalised(text)
-        at = h % max(1, len(b) - PIECE_BYTES)
-        out.append((h, b[at : at + PIECE_BYTES]))
+        out.append((h, normalised(text)))
     n = len(out)
     return pa.table({"lang": group["lang"][:1].to_pylist() * n, "h": pa.array([h for h, _ in out], pa.int64()), "piece": pa.array([p for _, p in out], pa.binary())})
 
