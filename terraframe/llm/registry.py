@@ -1,6 +1,6 @@
 """The ten queries by name, and the SQL of those that DuckDB can express."""
 
-from . import byte_bpe, language_id, media, mixing, simhash, substring_dedup, vafile
+from . import byte_bpe, language_id, media, mixing, simhash, substring_dedup, vafile, warc
 
-QUERIES = byte_bpe.QUERIES | language_id.QUERIES | media.QUERIES | mixing.QUERIES | simhash.QUERIES | substring_dedup.QUERIES | vafile.QUERIES
-ORACLE: dict[str, str] = vafile.ORACLE
+QUERIES = byte_bpe.QUERIES | language_id.QUERIES | media.QUERIES | mixing.QUERIES | simhash.QUERIES | substring_dedup.QUERIES | vafile.QUERIES | warc.QUERIES
+ORACLE: dict[str, str] = vafile.ORACLE | warc.ORACLE
