@@ -1,6 +1,6 @@
 """The ten queries by name, and the SQL of those that DuckDB can express."""
 
-from . import byte_bpe, language_id, media, mixing, quality, simhash, substring_dedup, vafile, warc
+from . import byte_bpe, html_text, language_id, media, mixing, quality, simhash, substring_dedup, vafile, warc
 
-QUERIES = byte_bpe.QUERIES | language_id.QUERIES | media.QUERIES | mixing.QUERIES | quality.QUERIES | simhash.QUERIES | substring_dedup.QUERIES | vafile.QUERIES | warc.QUERIES
+QUERIES = byte_bpe.QUERIES | html_text.QUERIES | language_id.QUERIES | media.QUERIES | mixing.QUERIES | quality.QUERIES | simhash.QUERIES | substring_dedup.QUERIES | vafile.QUERIES | warc.QUERIES
 ORACLE: dict[str, str] = vafile.ORACLE | warc.ORACLE
