@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Stands for a null integer id inside the operators, so that ids sort and join plainly.
 NULL_ID = -(2**63)
+#: Rows whose results by_row() holds at once.
+ROWS = 512
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,14 +82,34 @@ def by_row(df: DataFrame, row: Callable, ins: list[str], outs: str) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         call = row()
-        for b in batches:
-            got = [call(*v) for v in zip(*(b.column(c).to_pylist() for c in ins), strict=True)]
-            cols = list(zip(*got, strict=True)) or [()] * len(added)
-            yield pa.RecordBatch.from_arrays([b.column(c) for c in kept] + [pa.array(v, f.type) for v, f in zip(cols, added, strict=True)], names=kept + added.names)
+        for whole in batches:
+            # results outweigh their rows at times; few are held at once
+            for at in range(0, max(1, whole.num_rows), ROWS):
+                b = whole.slice(at, ROWS)
+                got = [call(*v) for v in zip(*(b.column(c).to_pylist() for c in ins), strict=True)]
+                cols = list(zip(*got, strict=True)) or [()] * len(added)
+                yield pa.RecordBatch.from_arrays([b.column(c) for c in kept] + [pa.array(v, f.type) for v, f in zip(cols, added, strict=True)], names=kept + added.names)
 
     return df.mapInArrow(run, spec)
 
 
+def keyed(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with ``_th``, a hash of the text: with the id it tells rows apart that share an id."""
+    return docs.withColumn("_th", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+
+
+def by_key(docs: DataFrame, decisions: DataFrame, id: str = "doc_id") -> DataFrame:
+    """The keyed() rows that ``decisions`` (``doc_id``, ``_th`` and ``n``, unique) names, each n times, without ``_th``.
+
+    Repeated rows are one before they are dealt out again. Joined null-safe by id.
+    """
+    d = decisions.select(long_id("doc_id").alias("_id"), F.col("_th").alias("_t"), F.col("n").cast("int").alias("_n")).where("_n > 0")
+    rows = docs.withColumn("_k", long_id(id))
+    cols = [c for c in docs.columns if c != "_th"]
+    one = rows.join(d, (F.col("_k") == F.col("_id")) & (F.col("_th") == F.col("_t"))).dropDuplicates(["_k", "_th"])
+    return one.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*cols)
+
+
 def pa_schema(spark: SparkSession, ddl: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType

@@ -131,6 +131,21 @@ def digests(docs: DataFrame, text: str = "text", vocabulary: str | None = None,
     return by_row(docs.drop("n_tokens", "ids_sha256", "decoded_sha256"), row, [text], "n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def encoded(docs: DataFrame, text: str = "text", vocabulary: str | None = None, pattern: str | None = None) -> DataFrame:
+    """Adds ``ids``, ``n_tokens`` and ``round_trip``: whether decoding gives back the text's bytes. Columns of these names are replaced."""
+
+    def row():
+        c = codec(vocabulary, pattern)
+
+        def one(t):
+            ids = c.encode(t or "")
+            return ids, len(ids), c.decode(ids) == (t or "").encode()
+
+        return one
+
+    return by_row(docs.drop("ids", "n_tokens", "round_trip"), row, [text], "ids array<int>, n_tokens long, round_trip boolean")
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text"))
     return digests(docs).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._util import shared_dir, table, written
+from ._util import by_key, keyed, shared_dir, table, written
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -113,8 +113,8 @@ def _knapsack(lengths: np.ndarray, free: np.ndarray, budget: int) -> np.ndarray:
     return out
 
 
-def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple = WEIGHTS, most: int = MOST, seed: int = SEED) -> DataFrame:
-    """One row for each row of ``docs``: ``doc_id, size, source_size, target, taken``.
+def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple = WEIGHTS, most: int = MOST, seed: int = SEED, also: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each row of ``docs``: ``doc_id, size, source_size, target, taken, times`` and its slim columns ``also``.
 
     ``taken`` is the document's words times how often the mix takes it, at most ``most`` times. A null
     text has size 0 and takes no words; a null source is a source, in last place. Rows that are equal in id and text
@@ -123,7 +123,7 @@ def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "
     spark = docs.sparkSession
     base = shared_dir(spark)
     draw = F.xxhash64(F.col(id).cast("string"), F.col(text), F.lit(seed))
-    thin = written(docs.select(F.col(id).alias("doc_id"), F.col(source).alias("source"), size_of(F.col(text)).alias("size"), draw.alias("draw"), F.shiftrightunsigned(draw, 64 - SLICES.bit_length() + 1).cast("int").alias("slice")), f"{base}/thin")
+    thin = written(docs.select(F.col(id).alias("doc_id"), *also, F.col(source).alias("source"), size_of(F.col(text)).alias("size"), draw.alias("draw"), F.shiftrightunsigned(draw, 64 - SLICES.bit_length() + 1).cast("int").alias("slice")), f"{base}/thin")
     lengths = written(thin.groupBy("source", "size", "slice").agg(F.count("*").alias("n")), f"{base}/lengths")
     sizes = lengths.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     aims = written(targets(written(sizes, f"{base}/sizes"), weights, most), f"{base}/targets")
@@ -148,7 +148,8 @@ def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "
     rank = F.row_number().over(Window.partitionBy("source", "size", "slice").orderBy("draw", "doc_id"))
     part = rows.where("room > 0 and room < n").withColumn("extra", (rank <= F.col("room")).cast("int"))
     rest = rows.where("not (room > 0 and room < n)").withColumn("extra", (F.col("room") > 0).cast("int"))
-    return part.unionByName(rest).select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("whole") + F.col("extra"))).alias("taken"))
+    times = F.col("whole") + F.col("extra")
+    return part.unionByName(rest).select("doc_id", "size", "source_size", "target", (F.col("size") * times).alias("taken"), times.alias("times"), *also)
 
 
 def _with(left: DataFrame, right: DataFrame, on: tuple[str, ...] = ("source",)) -> DataFrame:
@@ -161,8 +162,15 @@ def _with(left: DataFrame, right: DataFrame, on: tuple[str, ...] = ("source",))
     return left.join(r, cond).drop(*[f"_{c}" for c in on])
 
 
+def mixed(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
+    """The mix itself: each row of ``docs`` as often as it is taken."""
+    rows = keyed(docs, id, text)
+    times = mix(rows, id, text, source, also=("_th",), **how).groupBy("doc_id", "_th").agg(F.sum("times").alias("n"))
+    return by_key(rows, times, id)
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents"))
+    return mix(table(spark, sf_dir, "documents")).drop("times")
 
 
 QUERIES = {"op7_mixing": op7_mixing}

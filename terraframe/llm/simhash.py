@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from terraframe.operators.components import connected_components
 
-from ._util import long_id, null_id, removed, shared_dir, table, utf8, written
+from ._util import by_key, keyed, long_id, null_id, removed, shared_dir, table, utf8, written
 
 BITS = 64
 SHINGLE = 4
@@ -75,7 +75,8 @@ def fingerprint(text: bytes, n: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, n: int = SHINGLE, block: int = 1 << 21) -> DataFrame:
-    """``docs`` has ``id`` and the bytes ``body``; returns ``id`` and ``fp``, the fingerprint as a signed long."""
+    """``docs`` has the bytes ``body`` and slim columns, which stay; adds ``fp``, the fingerprint as a signed long."""
+    names = [c for c in docs.columns if c != "body"]
 
     def run(batches):
         digest = xxhash.xxh64_intdigest
@@ -98,9 +99,9 @@ def fingerprints(docs: DataFrame, n: int = SHINGLE, block: int = 1 << 21) -> Dat
             if lengths:
                 flush()
             fp = np.concatenate(out) if out else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(fp.view(np.int64))], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(c) for c in names] + [pa.array(fp.view(np.int64))], [*names, "fp"])
 
-    return docs.select("id", "body").mapInArrow(run, "id long, fp long")
+    return docs.mapInArrow(run, ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names) + ", fp long")
 
 
 def flips(low: int, high: int, most: int) -> list[tuple[int, int]]:
@@ -201,27 +202,37 @@ def _forest(group: pa.Table, p: int, most: int, distance: int) -> pa.Table:
     return pa.table({"fp": fp[member].view(np.int64), "root": fp[lab[member]].view(np.int64)})
 
 
-def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", n: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """One row ``(doc_id, fingerprint, component_id)`` for each row of ``docs``, repeated rows included.
+def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", n: int = SHINGLE, distance: int = DISTANCE, also: tuple[str, ...] = ()) -> DataFrame:
+    """One row ``(doc_id, fingerprint, component_id, component)`` for each row of ``docs``, repeated rows included, with its slim columns ``also``.
+
+    ``component`` tells classes apart, also where ids repeat or are null.
 
     A null text, like one without words, has fingerprint zero and links like any other. A null id stays
     null; component_id is the smallest id reachable that is not null. An empty table gives an empty one.
     """
     spark = docs.sparkSession
     base = shared_dir(spark)
-    fps = written(fingerprints(docs.select(long_id(id).alias("id"), utf8(text).alias("body")), n), f"{base}/fps")
+    fps = written(fingerprints(docs.select(long_id(id).alias("id"), *also, utf8(text).alias("body")), n), f"{base}/fps")
     uniq = written(fps.groupBy("fp").agg(F.min(null_id(F.col("id"))).alias("least")), f"{base}/uniq")
     trees = connected_components(ball_links(uniq, distance), "fp", "root")
     own = uniq.join(trees.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     own = written(own, f"{base}/own")
     named = own.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_fp = own.join(named, "component").select("fp", "component_id")
+    by_fp = own.join(named, "component").select("fp", "component_id", "component")
     removed(spark, f"{base}/uniq")
-    return fps.join(by_fp, "fp").select(null_id(F.col("id")).alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return fps.join(by_fp, "fp").select(null_id(F.col("id")).alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "component", *also)
+
+
+def one_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text", n: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
+    """``docs`` with one row of each class: that of the smallest id, null last; of rows with that id, the one with the least hash of the text."""
+    rows = keyed(docs, id, text)
+    found = near_duplicates(rows, id, text, n, distance, ("_th",))
+    first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_th")).alias("k"))
+    return by_key(rows, first.select("k.doc_id", "k._th", F.lit(1).alias("n")), id)
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "fingerprint", "component_id")
 
 
 QUERIES = {"op2_simhash": op2_simhash}

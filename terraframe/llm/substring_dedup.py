@@ -283,10 +283,10 @@ def with_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", width: i
     return keyed.join(by, "_id", "left")
 
 
-def dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = WIDTH, also: tuple[str, ...] = ()) -> DataFrame:
+def dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = WIDTH, also: tuple[str, ...] = (), verbatim: bool = False) -> DataFrame:
     """``docs``, its columns ``also`` kept, with ``n_words``, ``n_removed``, ``kept`` (kept words joined by one space) and ``kept_sha256``.
 
-    Every row returns. A null text has no words; so has an empty one. Fewer than ``width`` words are never removed.
+    With ``verbatim``, a text that loses no word stays as it is. Every row returns. A null text has no words; so has an empty one. Fewer than ``width`` words are never removed.
     """
     with_ = with_spans(docs.select(*dict.fromkeys((id, text, *also))), id, text, width)
     out = "n_words long, n_removed long, kept string, kept_sha256 string"
@@ -298,7 +298,7 @@ def dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int =
             for body, packed in zip(b.column("_body"), b.column("_spans"), strict=True):
                 n, keep = kept_words(body.as_py(), packed.as_py(), width)
                 joined = b" ".join(keep)
-                got.append((n, n - len(keep), joined.decode("utf-8", "replace"), hashlib.sha256(joined).hexdigest()))
+                got.append((n, n - len(keep), (body.as_py() if verbatim and len(keep) == n else joined).decode("utf-8", "replace"), hashlib.sha256(joined).hexdigest()))
             cols = list(zip(*got, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays([b.column(c) for c in names] + [pa.array(v, f.type) for v, f in zip(cols, added, strict=True)], names=names + added.names)
 
