@@ -30,9 +30,12 @@ from ._util import by_key, keyed, long_id, null_id, removed, shared_dir, table,
 BITS = 64
 SHINGLE = 4
 DISTANCE = 4
-#: Variants that a task sorts at a time, and fingerprints of a prefix above which a longer prefix is taken.
+#: Bits of the first prefix; longer only where prefixes would hold over HOT fingerprints on average.
+PREFIX = 12
+#: Variants that a task sorts at a time; more are split by further bits.
 VARIANTS = 1 << 22
-HOT = 1 << 14
+#: Fingerprints that share a prefix above which they are dealt again by a longer one.
+HOT = 1 << 16
 
 
 def shingles(text: bytes, n: int) -> list[bytes]:
@@ -127,16 +130,15 @@ def _deal(rows: DataFrame, frm: int, to: int, most: int) -> DataFrame:
 def ball_links(uniq: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """``uniq`` has distinct ``fp``; returns (fp, root), a forest whose every edge was verified and whose trees span the link classes within each prefix."""
     most = (distance + 1) // 2
-    n = uniq.count()
-    ball = len(flips(0, BITS, most))
-    p = 0
-    while p < 32 and n * ball >> p > VARIANTS // 2:
+    n, p = uniq.count(), PREFIX
+    while p < 32 and n >> p > HOT:
         p += 4
-    rows = uniq.select("fp", F.lit(0).alias("used"), F.lit(0).cast("long").alias("key"))
-    rows, done = _deal(rows, 0, p, most) if p else rows, None
+    rows = _deal(uniq.select("fp", F.lit(0).alias("used"), F.lit(0).cast("long").alias("key")), 0, p, most)
+    done = None
     while True:
-        hot = rows.groupBy("key").count().where(F.col("count") > HOT).select("key") if p < 56 else None
-        deep = hot is not None and not hot.isEmpty()
+        # a ball is largest under its own prefix, so those rows tell
+        hot = rows.where("used = 0").groupBy("key").count().where(F.col("count") > HOT).select("key")
+        deep = p < 48 and not hot.isEmpty()
         cold = rows.join(hot, "key", "left_anti") if deep else rows
         at = cold.select("fp", "used", "key", F.lit(p).alias("p"))
         done = at if done is None else done.unionByName(at)
@@ -150,41 +152,44 @@ def ball_links(uniq: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return done.groupBy("p", "key").applyInArrow(link, "fp long, root long").distinct()
 
 
+def _colliding(fp: np.ndarray, at: np.ndarray, used: np.ndarray, key: np.uint64, p: int, most: int, distance: int):
+    """Packed (first, other) places of fingerprints that share a variant under the prefix ``key`` of p bits; ``at`` picks them, with ``used`` flips spent."""
+    masks = {u: _masks(0, BITS - p, most - u) for u in range(most + 1)}
+    parts = {u: at[used == u] for u in masks}
+    if sum(len(parts[u]) * len(m) for u, m in masks.items()) > VARIANTS and p <= BITS - 4:
+        low = np.uint64(BITS - p - 4)
+        nibble = (fp[at] >> low) & np.uint64(15)
+        for sub in range(16):
+            spent = used + np.bitwise_count(nibble ^ np.uint64(sub)).astype(used.dtype)
+            ok = spent <= most
+            yield from _colliding(fp, at[ok], spent[ok], key | (np.uint64(sub) << low), p + 4, most, distance)
+        return
+    low = np.uint64((1 << (BITS - p)) - 1)
+    v = np.concatenate([(((fp[parts[u]] & low) | key)[:, None] ^ m[None, :]).ravel() for u, m in masks.items()])
+    o = np.concatenate([np.repeat(parts[u].astype(np.int32), len(m)) for u, m in masks.items()])
+    if not len(v):
+        return
+    by = np.argsort(v)
+    v, o = v[by], o[by]
+    same = v[1:] == v[:-1]
+    if not same.any():
+        return
+    hit = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+    v, o = v[hit], o[hit]
+    new = np.concatenate([[True], v[1:] != v[:-1]])
+    leader = np.minimum.reduceat(o, np.flatnonzero(new))[np.cumsum(new) - 1]
+    clash = leader != o
+    a, b = leader[clash], o[clash]
+    ok = np.bitwise_count(fp[a] ^ fp[b]) <= distance
+    yield np.unique(a[ok].astype(np.int64) << 32 | b[ok])
+
+
 def _forest(group: pa.Table, p: int, most: int, distance: int) -> pa.Table:
     fp = group["fp"].to_numpy().view(np.uint64)
-    used, key = group["used"].to_numpy(), np.uint64(group["key"][0].as_py() & (2**64 - 1))
-    low = np.uint64((1 << (BITS - p)) - 1)
     order = np.argsort(fp)
-    fp, used = fp[order], used[order]
-    masks = {u: _masks(0, BITS - p, most - u) for u in range(most + 1)}
-    total = sum(int((used == u).sum()) * len(m) for u, m in masks.items())
-    passes, pairs = max(1, -(-total // VARIANTS)), []
-    for s in range(passes):
-        values, owners = [], []
-        for u, m in masks.items():
-            own = np.flatnonzero(used == u)
-            step = max(1, VARIANTS // 4 // len(m))
-            for i in range(0, len(own), step):
-                some = own[i : i + step]
-                v = (((fp[some] & low) | (key & ~low))[:, None] ^ m[None, :]).ravel()
-                o = np.repeat(some.astype(np.int32), len(m))
-                if passes > 1:
-                    keep = ((v * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(passes) == s
-                    v, o = v[keep], o[keep]
-                values.append(v)
-                owners.append(o)
-        v, o = np.concatenate(values), np.concatenate(owners)
-        del values, owners
-        by = np.argsort(v, kind="stable")
-        v, o = v[by], o[by]
-        new = np.concatenate([[True], v[1:] != v[:-1]])
-        if new.all():
-            continue
-        leader = np.minimum.reduceat(o, np.flatnonzero(new))[np.cumsum(new) - 1]
-        clash = leader != o
-        a, b = leader[clash], o[clash]
-        ok = np.bitwise_count(fp[a] ^ fp[b]) <= distance
-        pairs.append(np.unique(a[ok].astype(np.int64) << 32 | b[ok]))
+    fp, used = fp[order], group["used"].to_numpy()[order].astype(np.int8)
+    key = np.uint64(group["key"][0].as_py() & (2**64 - 1))
+    pairs = list(_colliding(fp, np.arange(len(fp)), used, key, p, most, distance))
     if not pairs:
         return pa.table({"fp": pa.array([], pa.int64()), "root": pa.array([], pa.int64())})
     both = np.unique(np.concatenate(pairs))
