@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from terraframe.plans import queries
+
+QUERIES = dict(queries.QUERIES)
+ORACLE = dict(queries.ORACLE)
