@@ -19,6 +19,7 @@ Shuffles: the packed strings, then the removed spans with the texts by document.
 from __future__ import annotations
 
 import hashlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,8 @@ WIDTH = 20
 MINIMISER = 4
 #: UTF-8 bytes of text that a map task handles at a time.
 BLOCK_BYTES = 1 << 23
+#: Bytes whose words are hashed at a time.
+SLICE_BYTES = 1 << 18
 #: Bytes of text for each bucket, at most.
 BUCKET_BYTES = 1 << 21
 
@@ -57,7 +60,14 @@ def words(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return turn[::2], turn[1::2]
 
 
+@lru_cache(4)
+def _slice_powers(base: int) -> np.ndarray:
+    return _powers(SLICE_BYTES, np.uint64(base))
+
+
 def _powers(n: int, base: np.uint64) -> np.ndarray:
+    if n < SLICE_BYTES:
+        return _slice_powers(int(base))[: n + 1]
     out = np.empty(n + 1, np.uint64)
     out[0] = 1
     np.multiply.accumulate(np.full(n, base, np.uint64), out=out[1:])
@@ -65,10 +75,19 @@ def _powers(n: int, base: np.uint64) -> np.ndarray:
 
 
 def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit polynomial hash of each word: differences of one running sum, brought to the same power."""
-    run = np.concatenate([[np.uint64(0)], np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * _powers(len(buf), _P)[:-1], dtype=np.uint64)])
-    inverse = _powers(len(buf), _PINV)
-    return _mix((run[ends] - run[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    """64-bit polynomial hash of each word: differences of one running sum, brought to the same power. In slices, as sums take 8 bytes for each of text."""
+    out = np.empty(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        # whole words only; a word longer than a slice has one of its own
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + SLICE_BYTES)))
+        lo, hi = starts[i], ends[j - 1]
+        run = np.zeros(hi - lo + 1, np.uint64)
+        np.cumsum((buf[lo:hi] + np.uint64(1)) * _powers(hi - lo, _P)[:-1], dtype=np.uint64, out=run[1:])
+        s, e = starts[i:j] - lo, ends[i:j] - lo
+        out[i:j] = _mix((run[e] - run[s]) * _powers(hi - lo, _PINV)[s] + (e - s).astype(np.uint64))
+        i = j
+    return out
 
 
 def rolling(h: np.ndarray, n: int) -> np.ndarray:
@@ -161,7 +180,7 @@ def pack(w: Windows, travel: np.ndarray, buckets: int, minimiser: int):
     start, count, bucket = start[order], count[order], bucket[order]
     lo, hi = w.starts[start], w.ends[start + count - 1]
     cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
-    view, zip_ = memoryview(w.buf), zstandard.ZstdCompressor(level=1)
+    view, zip_ = memoryview(w.buf), zstandard.ZstdCompressor(level=3)
     for i, j in zip(cuts, cuts[1:], strict=False):
         head = np.stack([w.doc[start[i:j]], w.at[start[i:j]], count[i:j]]).astype(np.int64).tobytes()
         body = b"\n".join([view[a:b] for a, b in zip(lo[i:j].tolist(), hi[i:j].tolist(), strict=True)])
