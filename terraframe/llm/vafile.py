@@ -13,6 +13,8 @@ query leave it. The stated query set is a fixed share of the rows.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -27,7 +29,7 @@ QUERIES_BLOCK = 1024
 #: Largest magnitude whose products and sums stay exact in 64-bit integers, at 2 ** 20 components.
 WIDE = 1 << 21
 #: Components beyond this are taken as this.
-LIMIT = 1 << 60
+LIMIT = 1 << 55
 
 
 def integers(df: DataFrame, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -115,7 +117,7 @@ def search(queries: DataFrame, rows: DataFrame, k: int = 5) -> DataFrame:
 
     Returns ``query_id, rank, vec_id, score``: each query row's k best by integer inner product, ties to the
     smaller id. Only vectors of the query's own length are candidates. Of repeated rows with the query's id and
-    vector, one is the query's own and the others are candidates; scores beyond 64 bits become the largest or smallest long.
+    vector, one is the query's own and the others are candidates; ranks follow exact scores, and those beyond 64 bits return as the largest or smallest long.
     """
     spark = rows.sparkSession
     q = written(_blocks(queries, QUERIES_BLOCK, "q").withColumn("q_no", F.monotonically_increasing_id()))
@@ -139,15 +141,14 @@ def search(queries: DataFrame, rows: DataFrame, k: int = 5) -> DataFrame:
                 found = Approximation(vs).top(qs, k + 1, ids, qids, np.full(len(qids), -1))
                 got = [(r["q_no"], i, int(qids[i]), v, s, bool(v == qids[i] and (vs[j] == qs[i]).all())) for i, best in enumerate(found) for s, v, j in ((-s, v, j) for s, v, j in best)]
                 cols = list(zip(*got, strict=True)) or [()] * 6
-                big = lambda s: max(-(2**63), min(2**63 - 1, s))
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64()), pa.array([big(s) for s in cols[4]], pa.int64()), pa.array(cols[5], pa.bool_())], names=["q_no", "q_at", "query_id", "vec_id", "score", "self"])
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64()), pa.array([Decimal(s) for s in cols[4]], pa.decimal128(38, 0)), pa.array(cols[5], pa.bool_())], names=["q_no", "q_at", "query_id", "vec_id", "score", "self"])
 
-    found = paired.mapInArrow(run, "q_no long, q_at int, query_id long, vec_id long, score long, self boolean")
+    found = paired.mapInArrow(run, "q_no long, q_at int, query_id long, vec_id long, score decimal(38,0), self boolean")
     own = Window.partitionBy("q_no", "q_at")
     first = F.row_number().over(own.orderBy(F.col("self").desc(), F.col("score").desc(), "vec_id"))
     others = found.withColumn("_first", first).where(~(F.col("self") & (F.col("_first") == 1)))
     ranked = others.withColumn("rank", F.row_number().over(own.orderBy(F.col("score").desc(), "vec_id")).cast("int")).where(F.col("rank") <= k)
-    return ranked.select(null_id(F.col("query_id")).alias("query_id"), "rank", null_id(F.col("vec_id")).alias("vec_id"), "score")
+    return ranked.select(null_id(F.col("query_id")).alias("query_id"), "rank", null_id(F.col("vec_id")).alias("vec_id"), F.least(F.greatest("score", F.lit(-(2**63))), F.lit(2**63 - 1)).cast("long").alias("score"))
 
 
 def op6_vafile(spark: SparkSession, sf_dir: str) -> DataFrame:
