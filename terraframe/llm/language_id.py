@@ -29,6 +29,8 @@ SAMPLE_DOCS = 512
 BLOCK_BYTES = 2048
 #: Relative gap between the two smallest sizes under which a prediction is rejected.
 MARGIN = 0.004
+#: Shorter texts differ by whole bytes or not at all: a tie there says nothing, goes to the language with the most training documents, and is no reason to reject.
+SHORT_BYTES = 128
 UNKNOWN = "und"
 
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
@@ -40,7 +42,7 @@ def normalised(text: str) -> bytes:
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", order: str = "doc_id", seed: int = 42) -> dict[str, bytes]:
-    """A dictionary for each language of ``docs``, from at most SAMPLE_DOCS documents of each, by seeded hash.
+    """A dictionary for each language of ``docs``, those with most documents first, from at most SAMPLE_DOCS documents of each, by seeded hash.
 
     Rows with a null text or language, or without letters, are left out. The languages are a
     catalogue: a dictionary each is held by the driver and sent to the workers.
@@ -60,7 +62,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", order: str =
     for r in kept.collect():
         by.setdefault(r.lang, []).append((r.h, bytes(r.piece)))
     # the densest text last: zstandard reaches the end of a dictionary with the shortest offsets
-    return {k: b"\n".join(p for _, p in sorted(v))[:DICT_BYTES] for k, v in sorted(by.items())}
+    return {k: b"\n".join(p for _, p in sorted(v))[:DICT_BYTES] for k, v in sorted(by.items(), key=lambda x: (-counts[x[0]], x[0]))}
 
 
 def _pieces(group):
@@ -76,7 +78,7 @@ def _pieces(group):
 def compressors(dictionaries: dict[str, bytes]) -> list[tuple[str, zstandard.ZstdCompressor]]:
     params = zstandard.ZstdCompressionParameters.from_level(5, min_match=4, write_content_size=False, write_checksum=False, write_dict_id=False)
     out = []
-    for lang, raw in sorted(dictionaries.items()):
+    for lang, raw in dictionaries.items():
         if len(raw) >= 8:
             d = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(compression_params=params)
@@ -85,18 +87,23 @@ def compressors(dictionaries: dict[str, bytes]) -> list[tuple[str, zstandard.Zst
 
 
 def classify(text: str | None, langs, margin: float = MARGIN) -> tuple[str, float, bool]:
-    """(language, score, rejected). Score: gap / (gap + margin), so 0.5 at the rejection margin; ties go to the first name."""
+    """(language, score, rejected). Score: gap / (gap + margin), so 0.5 at the rejection margin; ties go to the language that comes first."""
     b = normalised(text or "")
     if not b or not langs:
         return UNKNOWN, 0.0, True
+    # word ends count at the text's ends too
+    b = b" " + b + b" "
     # the last block takes up to twice the size, so that no scrap of a few bytes decides
     cuts = [*range(0, max(1, len(b) - BLOCK_BYTES + 1), BLOCK_BYTES), len(b)] if len(b) >= BLOCK_BYTES else [0, len(b)]
     blocks = [b[i:j] for i, j in zip(cuts, cuts[1:], strict=False) if j > i]
-    sizes = sorted((sum(len(c.compress(x)) for x in blocks), lang) for lang, c in langs)
+    sizes = sorted((sum(len(c.compress(x)) for x in blocks), i) for i, (_, c) in enumerate(langs))
+    best = langs[sizes[0][1]][0]
     if len(sizes) == 1:
-        return sizes[0][1], 1.0, False
+        return best, 1.0, False
     gap = (sizes[1][0] - sizes[0][0]) / sizes[1][0]
-    return sizes[0][1], gap / (gap + margin), gap < margin
+    if not gap and len(b) < SHORT_BYTES:
+        return best, 0.5, False
+    return best, gap / (gap + margin), gap < margin
 
 
 def identify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text", margin: float = MARGIN) -> DataFrame:
