@@ -21,7 +21,16 @@ def _cross(ring: Column, term) -> Column:
     return F.aggregate(edges, F.lit(0.0), lambda a, v: a + v)
 
 
+def _about(ring: Column, o: Column) -> Column:
+    return F.transform(ring, lambda p: point(p["x"] - o["x"], p["y"] - o["y"]))
+
+
 def signed_area(ring: Column) -> Column:
+    """About the ring's first point: products of far coordinates would cancel digits."""
+    return _signed(_about(ring, F.get(ring, F.lit(0))))
+
+
+def _signed(ring: Column) -> Column:
     return _cross(ring, lambda p, q: p["x"] * q["y"] - q["x"] * p["y"]) / 2
 
 
@@ -42,14 +51,15 @@ def _moment(ring: Column, axis: str) -> Column:
 
 def centroid(geom: Column) -> Column:
     """Area-weighted centroid {x, y}; holes weigh against the outer ring. Null for an area of zero."""
-    total = F.aggregate(F.transform(geom, _weighted), F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y")), lambda s, v: F.struct((s["a"] + v["a"]).alias("a"), (s["x"] + v["x"]).alias("x"), (s["y"] + v["y"]).alias("y")))
-    return F.struct(F.try_divide(total["x"], total["a"]).alias("x"), F.try_divide(total["y"], total["a"]).alias("y"))
+    o = F.get(F.get(geom, F.lit(0)), F.lit(0))
+    total = F.aggregate(F.transform(geom, lambda r, i: _weighted(_about(r, o), i)), F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y")), lambda s, v: F.struct((s["a"] + v["a"]).alias("a"), (s["x"] + v["x"]).alias("x"), (s["y"] + v["y"]).alias("y")))
+    return F.struct((o["x"] + F.try_divide(total["x"], total["a"])).alias("x"), (o["y"] + F.try_divide(total["y"], total["a"])).alias("y"))
 
 
 def _weighted(ring: Column, i: Column) -> Column:
     # each ring counts by its own orientation: outer rings for, holes against
-    sign = F.when(i == 0, F.lit(1.0)).otherwise(F.lit(-1.0)) * F.when(signed_area(ring) < 0, F.lit(-1.0)).otherwise(F.lit(1.0))
-    return F.struct((signed_area(ring) * sign).alias("a"), (_moment(ring, "x") * sign).alias("x"), (_moment(ring, "y") * sign).alias("y"))
+    sign = F.when(i == 0, F.lit(1.0)).otherwise(F.lit(-1.0)) * F.when(_signed(ring) < 0, F.lit(-1.0)).otherwise(F.lit(1.0))
+    return F.struct((_signed(ring) * sign).alias("a"), (_moment(ring, "x") * sign).alias("x"), (_moment(ring, "y") * sign).alias("y"))
 
 
 def bbox(geom: Column) -> Column:

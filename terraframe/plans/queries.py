@@ -553,3 +553,165 @@ def mean_match_iou(spark, sf_dir):
 def match_lookup(spark, sf_dir):
     m = matching.with_areas(matching.matches(_edges(spark, sf_dir)), V.match_pred(spark, sf_dir), V.match_ref(spark, sf_dir))
     return m.select(F.col("t").alias("tahmin_no"), F.col("r").alias("referans_no"), F.round("iou", 4).alias("iou"), F.col("pred_area").alias("tahmin_alan_m2"), F.col("ref_area").alias("referans_alan_m2"))
+
+
+# polygons, masks and model output
+
+
+@query("polygon_overlap_area", duck("SELECT t, r, round(i, 6) AS alan FROM p WHERE i > 0", "match_pred", "match_ref", _EDGES))
+def polygon_overlap_area(spark, sf_dir):
+    from terraframe.functions.overlap import polygon_overlap
+
+    p, r = V.polygons(V.match_pred(spark, sf_dir)), V.polygons(V.match_ref(spark, sf_dir))
+    pairs = box_pairs(p, r, CELL)
+    return pairs.select(F.col("l.id").alias("t"), F.col("r.id").alias("r"), r6(polygon_overlap(F.col("l.geom"), F.col("r.geom"))).alias("alan"))
+
+
+@query("geojson_roundtrip", duck("SELECT id, round(xmin, 6) AS x, round(ymax, 6) AS y, round(area, 6) AS area FROM detections", "detections"))
+def geojson_roundtrip(spark, sf_dir):
+    d = V.polygons(V.detections(spark, sf_dir)).select("id", F.to_json(G.to_geojson(F.col("geom"))).alias("j"))
+    back = F.from_json("j", "type string, coordinates array<array<array<double>>>")
+    g = d.select("id", G.from_geojson(back["coordinates"]).alias("geom"))
+    b = G.bbox(F.col("geom"))
+    return g.select("id", r6(b["xmin"]).alias("x"), r6(b["ymax"]).alias("y"), r6(G.polygon_area(F.col("geom"))).alias("area"))
+
+
+@query("crs_transform", duck("SELECT id, round(xmin + 500000, 4) AS x, round(ymin + 4500000, 4) AS y FROM detections", "detections"))
+def crs_transform(spark, sf_dir):
+    """UTM to geographic coordinates and back."""
+    from terraframe.functions.crs import transform_polygon
+
+    far = lambda r: G.shift(r, F.lit(500000.0), F.lit(4500000.0))
+    d = V.polygons(V.detections(spark, sf_dir)).select("id", F.transform("geom", far).alias("geom"))
+    d = d.withColumn("geom", transform_polygon(F.col("geom"), "EPSG:32635", "EPSG:4326")).withColumn("geom", transform_polygon(F.col("geom"), "EPSG:4326", "EPSG:32635"))
+    first = F.element_at(F.element_at("geom", 1), 1)
+    return d.select("id", F.round(first["x"], 4).alias("x"), F.round(first["y"], 4).alias("y"))
+
+
+@query(
+    "mask_sigmoid_product",
+    "SELECT vec_id, round(1 / (1 + exp(-list_sum([CAST(embedding[i] AS DOUBLE) * ((i - 1) % 7 - 3) / 10.0::DOUBLE FOR i IN range(1, len(embedding) + 1)]))), 6) AS maske FROM embeddings",
+)
+def mask_sigmoid_product(spark, sf_dir):
+    w = F.transform("embedding", lambda x, i: x.cast("double") * (i % 7 - 3) / F.lit(10.0))
+    logit = F.aggregate(w, F.lit(0.0), lambda a, v: a + v)
+    return V.table(spark, sf_dir, "embeddings").select("vec_id", r6(1 / (1 + F.exp(-logit))).alias("maske"))
+
+
+@query("tile_box_nms", duck("SELECT id FROM kept", "detections", _KEPT))
+def tile_box_nms(spark, sf_dir):
+    """Suppression inside each tile, as a worker does it."""
+    import numpy as np
+
+    from terraframe.operators.vision import box_nms
+
+    def one(pdf):
+        pdf = pdf.sort_values(["conf", "id"], ascending=[False, True], ignore_index=True)
+        # tenths as whole numbers: corners and areas are exact
+        boxes = np.round(pdf[["xmin", "ymin", "xmax", "ymax"]].to_numpy() * 10)
+        return pdf.loc[box_nms(boxes, pdf["conf"].to_numpy(), 0.5), ["id"]]
+
+    return V.detections(spark, sf_dir).withColumn("tile", F.expr("k DIV 16")).groupBy("tile").applyInPandas(one, "id long")
+
+
+@query("yolo_head_decode", duck("SELECT id, round(xmin, 4) AS x0, round(ymin, 4) AS y0, round(xmax, 4) AS x1, round(ymax, 4) AS y1, round(conf, 6) AS conf FROM detections WHERE conf >= 0.4::DOUBLE", "detections"))
+def yolo_head_decode(spark, sf_dir):
+    """Boxes written as a model's head and read back."""
+    import numpy as np
+    import pandas as pd
+
+    from terraframe.operators.vision import decode_head
+
+    def one(pdf):
+        b = pdf[["xmin", "ymin", "xmax", "ymax"]].to_numpy().T
+        head = np.vstack([(b[0] + b[2]) / 2, (b[1] + b[3]) / 2, b[2] - b[0], b[3] - b[1], pdf["conf"], np.tile(pdf["id"], (32, 1))])
+        boxes, scores, coefficients = decode_head(head, 0.4)
+        return pd.DataFrame({"id": coefficients[:, 0].astype("int64"), **{c: boxes[:, i] for i, c in enumerate(("x0", "y0", "x1", "y1"))}, "conf": scores})
+
+    d = V.detections(spark, sf_dir).withColumn("tile", F.expr("k DIV 16")).groupBy("tile").applyInPandas(one, "id long, x0 double, y0 double, x1 double, y1 double, conf double")
+    return d.select("id", *[F.round(c, 4).alias(c) for c in ("x0", "y0", "x1", "y1")], r6("conf").alias("conf"))
+
+
+@query("mask_to_polygon", duck("SELECT id, round(area - 0.5, 6) AS alan FROM detections", "detections"))
+def mask_to_polygon(spark, sf_dir):
+    """Each box as a mask and its outer contour: a rectangle with its four corners cut."""
+    import numpy as np
+    import pandas as pd
+
+    from terraframe.operators.vision import outer, signed
+
+    def run(batches):
+        for pdf in batches:
+            area = [abs(signed(outer(np.ones((int(round(h)), int(round(w))), np.float32)))) for w, h in zip(pdf["w"], pdf["h"], strict=True)]
+            yield pd.DataFrame({"id": pdf["id"], "alan": area})
+
+    d = V.detections(spark, sf_dir).select("id", (F.col("xmax") - F.col("xmin")).alias("w"), (F.col("ymax") - F.col("ymin")).alias("h"))
+    return d.mapInPandas(run, "id long, alan double").withColumn("alan", r6("alan"))
+
+
+@query(
+    "letterbox",
+    """
+WITH s AS (SELECT p_partkey, p_size + 10 AS w, p_partkey % 40 + 10 AS h FROM part),
+t AS (SELECT *, least(64.0::DOUBLE / w, 64.0::DOUBLE / h) AS scale FROM s), n AS (SELECT *, floor(w * scale + 0.5) AS nw, floor(h * scale + 0.5) AS nh FROM t)
+SELECT p_partkey, round(scale, 6) AS olcek, CAST(floor((64 - nw) / 2) AS INTEGER) AS pad_x, CAST(floor((64 - nh) / 2) AS INTEGER) AS pad_y, round((nw * nh * 51 / 255.0 + (4096 - nw * nh) * 114 / 255.0) / 4096, 4) AS ortalama FROM n""",
+)
+def letterbox_query(spark, sf_dir):
+    import numpy as np
+    import pandas as pd
+
+    from terraframe.operators.vision import letterbox
+
+    def run(batches):
+        for pdf in batches:
+            got = [letterbox(np.full((h, w, 3), 51, np.uint8), 64) for w, h in zip(pdf["w"], pdf["h"], strict=True)]
+            yield pd.DataFrame({"p_partkey": pdf["p_partkey"], "olcek": [g[1] for g in got], "pad_x": [g[2] for g in got], "pad_y": [g[3] for g in got], "ortalama": [float(g[0].astype("float64").mean()) for g in got]})
+
+    p = V.table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") + 10).cast("int").alias("w"), (F.col("p_partkey") % 40 + 10).cast("int").alias("h"))
+    return p.mapInPandas(run, "p_partkey long, olcek double, pad_x int, pad_y int, ortalama double").select("p_partkey", r6("olcek").alias("olcek"), "pad_x", "pad_y", F.round("ortalama", 4).alias("ortalama"))
+
+
+@query(
+    "blank_tile_filter",
+    duck("SELECT r, c FROM (SELECT row // 2 AS r, col // 2 AS c, bool_and(v = 0) AS siyah, bool_and(v = 255) AS beyaz FROM (SELECT row, col, CASE WHEN z < 30 THEN 0 WHEN z > 50 THEN 255 ELSE z END AS v FROM dsm_cells) GROUP BY 1, 2) WHERE NOT siyah AND NOT beyaz", "dsm_cells"),
+)
+def blank_tile_filter(spark, sf_dir):
+    v = F.when(F.col("z") < 30, F.lit(0.0)).when(F.col("z") > 50, F.lit(255.0)).otherwise(F.col("z"))
+    d = V.dsm_cells(spark, sf_dir).withColumn("v", v).groupBy(F.expr("row DIV 2").alias("r"), F.expr("col DIV 2").alias("c"))
+    return d.agg(F.bool_and(F.col("v") == 0).alias("s"), F.bool_and(F.col("v") == 255).alias("b")).where("not s and not b").select("r", "c")
+
+
+@query("xml_escape", """SELECT p_partkey, replace(replace(replace(replace(p_name || ' <&"' || p_brand || '>', '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS metin FROM part""")
+def xml_escape(spark, sf_dir):
+    t = F.concat("p_name", F.lit(' <&"'), "p_brand", F.lit(">"))
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        t = F.replace(t, F.lit(a), F.lit(b))
+    return V.table(spark, sf_dir, "part").select("p_partkey", t.alias("metin"))
+
+
+@query("conf_filter_commutes_with_nms", duck("SELECT id FROM kept WHERE conf >= 0.5::DOUBLE", "detections", _KEPT))
+def conf_filter_commutes_with_nms(spark, sf_dir):
+    """Suppression above the filter equals the filter above suppression."""
+    return greedy_nms(V.detections(spark, sf_dir).where("conf >= 0.5D"), 0.5, CELL).select("id")
+
+
+@query("geotiff_chunks")
+def geotiff_chunks(spark, sf_dir):
+    """The surface model written as a GeoTIFF and read back in chunks, cell by cell."""
+    import tempfile
+
+    import numpy as np
+
+    from terraframe.sources import geotiff
+
+    a = np.zeros((64, 64), np.float32)
+    for r in V.dsm_cells(spark, sf_dir).collect():  # 64 x 64 cells
+        a[r["row"], r["col"]] = r["z"]
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}"
+    path = f"{base.rstrip('/')}/dsm.tif" if "://" in base else f"file://{base.rstrip('/')}/dsm.tif"
+    from pyarrow import fs
+
+    store, name = fs.FileSystem.from_uri(path.rpartition("/")[0])
+    store.create_dir(name, recursive=True)
+    geotiff.write(path, a, (0.5, 0.0, 100.0, 0.0, -0.5, 200.0), 32635, tile=16, deflate=True)
+    return geotiff.cells(geotiff.chunks(spark, path, 32)).select("row", "col", F.round("z", 4).alias("z"))
