@@ -12,11 +12,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terraframe.operators.components import connected_components
+from terraframe.operators.components import _folder, _write, connected_components
 
 #: Cells of a dense matrix up to which exact ties are broken by the smallest ids.
 TIES = 400
 EPS = 1e-12
+#: Edges that share a call.
+BUCKET = 20_000
 
 
 def hungarian(cost: np.ndarray) -> np.ndarray:
@@ -85,17 +87,25 @@ def tie_broken(gain: np.ndarray) -> list[tuple[int, int]]:
 
 def assign(edges: DataFrame, t: str = "t", r: str = "r", iou: str = "iou") -> DataFrame:
     """``edges`` holds every pair with IoU > 0; returns the pairs ``t, r, iou`` of the optimal assignment."""
-    e = edges.where(F.col(iou) > 0).select(F.col(t).cast("long").alias("t"), F.col(r).cast("long").alias("r"), F.col(iou).alias("iou"))
+    e = edges.where(F.col(iou) > 0).select(F.col(t).cast("long").alias("t"), F.col(r).cast("long").alias("r"), F.col(iou).cast("double").alias("iou"))
+    e = _write(e, f"{_folder(edges.sparkSession)}/edges")
     # predictions and references number their nodes apart: even and odd
     comp = connected_components(e.select((F.col("t") * 2).alias("a"), (F.col("r") * 2 + 1).alias("b")), "a", "b")
-    of = e.join(comp, F.col("t") * 2 == F.col("node")).select("component", "t", "r", "iou")
+    buckets = max(1, -(-e.count() // BUCKET))
+    of = e.join(comp, F.col("t") * 2 == F.col("node")).select("component", "t", "r", "iou", F.pmod(F.xxhash64("component"), F.lit(buckets)).alias("bucket"))
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        ts, i = np.unique(pdf["t"], return_inverse=True)
-        rs, j = np.unique(pdf["r"], return_inverse=True)
-        gain = np.zeros((len(ts), len(rs)))
-        gain[i, j] = pdf["iou"]
-        pairs = tie_broken(gain)
-        return pd.DataFrame({"t": [ts[a] for a, _ in pairs], "r": [rs[b] for _, b in pairs], "iou": [gain[p] for p in pairs]}).astype({"t": "int64", "r": "int64", "iou": "float64"})
-
-    return of.groupBy("component").applyInPandas(solve, "t long, r long, iou double")
+        # most components are a few edges; a bucket of them shares one call
+        pdf = pdf.sort_values(["component", "t", "r"])
+        c, t_, r_, g = (pdf[k].to_numpy() for k in ("component", "t", "r", "iou"))
+        cuts = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1], [True]]))
+        out = []
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            ts, i = np.unique(t_[lo:hi], return_inverse=True)
+            rs, j = np.unique(r_[lo:hi], return_inverse=True)
+            gain = np.zeros((len(ts), len(rs)))
+            gain[i, j] = g[lo:hi]
+            out += [(ts[a], rs[b], gain[a, b]) for a, b in tie_broken(gain)]
+        return pd.DataFrame(out, columns=["t", "r", "iou"]).astype({"t": "int64", "r": "int64", "iou": "float64"})
+
+    return of.groupBy("bucket").applyInPandas(solve, "t long, r long, iou double")

@@ -61,18 +61,20 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     base, n = _folder(spark), 0
     clean = edges.select(F.col(src).cast("long").alias("a"), F.col(dst).cast("long").alias("b")).where("a is not null and b is not null")
     start = _write(clean.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{base}/start")
-    e, state = start.where("u != v"), None
-    while True:
+    shape = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    e = start.where("u != v")
+    state = shape(e)
+    while state[0]:
         nxt = _write(_small_star(_large_star(e)), f"{base}/{n}")
-        got = nxt.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        got = shape(nxt)
         if n:
             _delete(spark, f"{base}/{n - 1}")
         e, n = nxt, n + 1
-        if tuple(got) == state:
+        if got == state:
             break
         if n >= max_rounds:
             raise RuntimeError("the components did not settle")
-        state = tuple(got)
+        state = got
     stars = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     loops = start.where("u = v").select(F.col("u").alias("node"), F.col("u").alias("component"))
     return stars.union(e.select("v", "v")).union(loops).groupBy("node").agg(F.min("component").alias("component"))
