@@ -30,8 +30,8 @@ from ._util import by_key, keyed, long_id, null_id, removed, shared_dir, table,
 BITS = 64
 SHINGLE = 4
 DISTANCE = 4
-#: Bits of the first prefix; longer only where prefixes would hold over HOT fingerprints on average.
-PREFIX = 12
+#: Bits of the first prefix, and of that for a few thousand fingerprints, of which many prefixes would hold none; longer only where prefixes would hold over HOT on average.
+PREFIX, SHORT_PREFIX, FEW = 12, 4, 1 << 14
 #: Variants that a task sorts at a time; more are split by further bits.
 VARIANTS = 1 << 22
 #: Fingerprints that share a prefix above which they are dealt again by a longer one.
@@ -130,7 +130,8 @@ def _deal(rows: DataFrame, frm: int, to: int, most: int) -> DataFrame:
 def ball_links(uniq: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """``uniq`` has distinct ``fp``; returns (fp, root), a forest whose every edge was verified and whose trees span the link classes within each prefix."""
     most = (distance + 1) // 2
-    n, p = uniq.count(), PREFIX
+    n = uniq.count()
+    p = PREFIX if n > FEW else SHORT_PREFIX
     while p < 32 and n >> p > HOT:
         p += 4
     rows = _deal(uniq.select("fp", F.lit(0).alias("used"), F.lit(0).cast("long").alias("key")), 0, p, most)

@@ -90,7 +90,7 @@ def test_simhash_majority_long_runs():
 @pytest.mark.parametrize("small", [False, True])
 def test_simhash_links(spark, monkeypatch, small):
     if small:
-        monkeypatch.setattr(simhash, "PREFIX", 4)
+        monkeypatch.setattr(simhash, "FEW", 4)
         monkeypatch.setattr(simhash, "HOT", 8)
     r = random.Random(3)
     seeds = [r.getrandbits(64) for _ in range(12)]
