@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._util import pa_schema, shared_dir, shuffle_partitions, table, utf8
+from ._util import pa_schema, shared_dir, shuffle_partitions, table, utf8, written
 
 #: Smaller payloads are never revisits.
 REVISIT_BYTES = 1000
@@ -135,14 +135,16 @@ def leaders(rows: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
     return many.where("n > 1").drop("n")
 
 
-def write(captures: DataFrame, folder: str) -> DataFrame:
-    """``captures`` has ``seed`` (unique), ``uri``, ``payload``, ``refers_seed``, ``fields``; writes ``*.warc.gz`` under ``folder``, a path that all executors see.
+def write(captures: DataFrame, refers: DataFrame, folder: str) -> DataFrame:
+    """``captures`` has ``seed`` (unique), ``uri``, ``payload``, ``fields``; ``refers`` says by ``seed`` and ``refers_seed`` which of them are revisits.
 
-    Runs at once and returns one row for each task: ``files, records, bytes``.
+    An action on the result writes ``*.warc.gz`` under ``folder``, a path that all executors see, and gives one
+    row for each task: ``files, records, bytes``. Payloads are shuffled once, by seed.
     """
     n = shuffle_partitions(captures.sparkSession)
     # in order by seed: whatever task writes a partition, and however often, the files are the same
-    rows = captures.select("seed", "uri", "payload", "refers_seed", "fields").repartition(n, "seed").withColumn("_part", F.spark_partition_id()).sortWithinPartitions("seed")
+    rows = captures.select("seed", "uri", "payload", "fields").repartition(n, "seed").join(refers.repartition(n, "seed"), "seed", "left")
+    rows = rows.withColumn("_part", F.spark_partition_id()).sortWithinPartitions("seed")
 
     def run(batches):
         out = _Files(folder)
@@ -239,12 +241,12 @@ def archive_pages(pages: DataFrame, folder: str, least: int = REVISIT_BYTES) ->
     """
     key = F.struct(F.col("page_id").cast("long").alias("id"), F.monotonically_increasing_id().alias("row"))
     full = pages.select(key.alias("key"), F.col("url"), utf8("html").alias("payload")).withColumn("digest", F.sha1("payload")).withColumn("size", F.octet_length("payload"))
-    lead = leaders(full.select("key", "digest", "size"), least)
-    rows = full.join(lead, ["digest", "size"], "left")
+    slim = full.select("key", "digest", "size")
     seed = lambda k: F.concat_ws(":", k["row"], F.coalesce(k["id"].cast("string"), F.lit("")))
+    again = slim.join(leaders(slim, least), ["digest", "size"]).where(F.col("leader") != F.col("key"))
+    refers = again.select(seed(F.col("key")).alias("seed"), seed(F.col("leader")).alias("refers_seed"))
     fields = F.map_filter(F.create_map(F.lit("page-id"), F.col("key.id").cast("string")), lambda _, v: v.isNotNull())
-    refers = F.when(F.col("leader").isNotNull() & (F.col("leader") != F.col("key")), seed(F.col("leader")))
-    return write(rows.select(seed(F.col("key")).alias("seed"), F.col("url").alias("uri"), "payload", refers.alias("refers_seed"), fields.alias("fields")), folder)
+    return write(full.select(seed(F.col("key")).alias("seed"), F.col("url").alias("uri"), "payload", fields.alias("fields")), refers, folder)
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -252,7 +254,8 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_dir(spark)
     if not archive_pages(pages, folder).agg(F.sum("records")).first()[0]:
         return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string")
-    captures = assemble(read(spark, folder))
+    # parsed once; assembly joins the records several times
+    captures = assemble(written(read(spark, folder).drop("payload").withColumn("payload", F.lit(None).cast("binary")), f"{folder}-records"))
     page = F.try_element_at(F.map_from_entries(F.try_element_at("metadata", F.lit(1))["fields"]), F.lit("page-id")).cast("long")
     rows = captures.select("capture_id", page.alias("page_id"), "response.payload_bytes", "response.payload_digest", F.col("response.type").alias("record_type"), F.col("response.refers_to").alias("ref"), F.col("response.target_uri").alias("url"))
     held = rows.where("record_type = 'response'").select(F.col("capture_id").alias("_ref"), F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("_bytes"))
