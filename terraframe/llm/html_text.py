@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._util import table
+from ._util import shuffle_partitions, table, written
 
 #: Tokens of a long substring.
 LONG = 8
@@ -31,6 +31,8 @@ LONG = 8
 PAGES = 3
 #: HTML bytes of a shard of a host.
 SHARD_BYTES = 1 << 23
+#: Hosts of more than one shard whose sizes are broadcast; beyond so many they are joined by a shuffle.
+BROADCAST_HOSTS = 1 << 16
 
 ARTICLE, MAIN, PLAIN, BOILER = "AMPB"
 
@@ -211,6 +213,7 @@ def extract(pages: DataFrame, id: str = "page_id", url: str = "url", html: str =
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^\w+://([^/?#]*)", 1))
     slim = pages.select(F.col(id).alias("page_id"), F.col(url).alias("url"), host.alias("host"), F.coalesce(F.col(html), F.lit("")).alias("html"))
     hosts = slim.groupBy("host").agg(F.ceil(F.sum(F.octet_length("html")) / SHARD_BYTES).alias("shards"))
+    large = written(hosts.where("shards > 1"))
 
     def cut(batches):
         squeeze = zstandard.ZstdCompressor(level=1)
@@ -223,8 +226,12 @@ def extract(pages: DataFrame, id: str = "page_id", url: str = "url", html: str =
 
     kind = slim.schema["page_id"].dataType.simpleString()
     packed = slim.mapInArrow(cut, f"page_id {kind}, url string, host string, blocks binary")
-    shard = F.pmod(F.xxhash64("page_id", "url"), F.greatest(F.lit(1), F.col("shards"))).alias("shard")
-    dealt = packed.join(hosts, "host").select("page_id", "url", "host", "blocks", shard)
+    shard = F.pmod(F.xxhash64("page_id", "url"), F.coalesce("shards", F.lit(1))).alias("shard")
+    few = large.count() <= BROADCAST_HOSTS
+    dealt = packed.join(F.broadcast(large) if few else large, "host", "left").select("page_id", "url", "host", "blocks", shard)
+    if not few:
+        # the join's partitions by host would do for groups by host and shard, but not for a hot host
+        dealt = dealt.repartition(shuffle_partitions(pages.sparkSession), "host", "shard")
 
     def settle(group):
         unzip = zstandard.ZstdDecompressor()
