@@ -52,10 +52,10 @@ def decode_head(head: np.ndarray, confidence: float) -> tuple[np.ndarray, np.nda
     return np.stack([cx - w / 2, cy - h / 2, cx + w / 2, cy + h / 2], axis=1), score[keep].astype(np.float64), head[4 + classes :, keep].T
 
 
-def box_nms(boxes: np.ndarray, scores: np.ndarray, threshold: float) -> np.ndarray:
-    """Places of kept boxes by score, greedy; equal scores stay in order."""
+def box_nms(boxes: np.ndarray, scores: np.ndarray, threshold: float, area: np.ndarray | None = None) -> np.ndarray:
+    """Places of kept boxes by score, greedy; equal scores stay in order. ``area``, if known, spares the rounding of corner differences."""
     order, kept = np.argsort(-scores, kind="stable"), []
-    area = (boxes[:, 2] - boxes[:, 0]) * (boxes[:, 3] - boxes[:, 1])
+    area = (boxes[:, 2] - boxes[:, 0]) * (boxes[:, 3] - boxes[:, 1]) if area is None else area
     while len(order):
         i, order = order[0], order[1:]
         kept.append(i)

@@ -601,15 +601,12 @@ def mask_sigmoid_product(spark, sf_dir):
 @query("tile_box_nms", duck("SELECT id FROM kept", "detections", _KEPT))
 def tile_box_nms(spark, sf_dir):
     """Suppression inside each tile, as a worker does it."""
-    import numpy as np
-
     from terraframe.operators.vision import box_nms
 
     def one(pdf):
         pdf = pdf.sort_values(["conf", "id"], ascending=[False, True], ignore_index=True)
-        # tenths as whole numbers: corners and areas are exact
-        boxes = np.round(pdf[["xmin", "ymin", "xmax", "ymax"]].to_numpy() * 10)
-        return pdf.loc[box_nms(boxes, pdf["conf"].to_numpy(), 0.5), ["id"]]
+        boxes = pdf[["xmin", "ymin", "xmax", "ymax"]].to_numpy()
+        return pdf.loc[box_nms(boxes, pdf["conf"].to_numpy(), 0.5, pdf["area"].to_numpy()), ["id"]]
 
     return V.detections(spark, sf_dir).withColumn("tile", F.expr("k DIV 16")).groupBy("tile").applyInPandas(one, "id long")
 
