@@ -34,6 +34,8 @@ FILE_BYTES = 1 << 22
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
 
+#: Records that are captures.
+CAPTURES = ("response", "revisit", "resource")
 RECORD = "record_id string, type string, concurrent_to array<string>, target_uri string, refers_to string, payload_digest string, payload_bytes long, fields map<string,string>, payload binary"
 
 
@@ -210,23 +212,26 @@ def assemble(records: DataFrame) -> DataFrame:
     capture are left out; records with the same identifier count as one. A revisit's ``response.payload_bytes`` comes
     from the record that it refers to, null if that isn't there.
     """
-    r = records.dropDuplicates(["record_id"])
-    main = F.col("type").isin("response", "revisit", "resource")
-    heads = r.where(main)
-    rest = r.where(~main)
-    ties = rest.select(F.col("record_id").alias("own"), F.explode("concurrent_to").alias("other"))
-    # links written on the capture's side, and links through a sibling
-    named = heads.select(F.explode("concurrent_to").alias("own"), F.col("record_id").alias("other"))
-    direct = ties.unionByName(named)
-    through = direct.alias("a").join(ties.alias("b"), F.col("a.own") == F.col("b.other")).select(F.col("b.own").alias("own"), F.col("a.other").alias("other"))
-    # each record's links, itself included for a capture, in one aggregate by capture
-    links = direct.unionByName(through).distinct()
-    members = rest.join(links, F.col("record_id") == F.col("own")).select(F.col("other").alias("capture_id"), _nested())
-    both = heads.select(F.col("record_id").alias("capture_id"), _nested()).unionByName(members)
+    main = F.col("type").isin(*CAPTURES)
+    heads, rest = records.where(main), records.where(~main)
+    members = heads.select(F.col("record_id").alias("capture_id"), _nested()).unionByName(rest.select(F.explode("concurrent_to").alias("capture_id"), _nested()))
+    # a capture has a handful of records; one shuffle brings them together
+    groups = written(members.groupBy("capture_id").agg(F.collect_list("rec").alias("all")))
+    is_head = lambda x: x["type"].isin(*CAPTURES)
+    stray = groups.where(~F.exists("all", is_head)).select(F.col("capture_id").alias("via"), F.explode("all").alias("rec"))
+    named = heads.select(F.explode("concurrent_to").alias("own"), F.col("record_id").alias("capture_id"))
+    whole = groups.where(F.exists("all", is_head))
+    if not stray.isEmpty() or not named.isEmpty():
+        # ties through a sibling, and those written on the capture's side only
+        ties = rest.select(F.col("record_id").alias("own"), F.explode("concurrent_to").alias("capture_id")).unionByName(named)
+        late = stray.join(ties, F.col("via") == F.col("own")).select("capture_id", "rec").unionByName(rest.join(named, F.col("record_id") == F.col("own")).select("capture_id", _nested()))
+        every = whole.select("capture_id", F.explode("all").alias("rec")).unionByName(late)
+        whole = every.groupBy("capture_id").agg(F.collect_list("rec").alias("all")).where(F.exists("all", is_head))
+    # records with equal identifiers count once
+    ids = F.transform("all", lambda x: x["record_id"])
+    once = whole.withColumn("all", F.filter("all", lambda x, i: F.array_position(ids, x["record_id"]) == i + 1))
     of = lambda *kinds: F.filter("all", lambda x: x["type"].isin(*kinds))
-    # a capture has a handful of records, its response exactly once
-    one = both.groupBy("capture_id").agg(F.collect_list("rec").alias("all"))
-    return one.select("capture_id", F.element_at(F.concat(of("response", "revisit", "resource"), F.array(F.lit(None).cast(one.schema["all"].dataType.elementType))), 1).alias("response"), F.array_sort(of("request")).alias("requests"), F.array_sort(of("metadata")).alias("metadata")).where("response is not null")
+    return once.select("capture_id", F.element_at(of(*CAPTURES), 1).alias("response"), F.array_sort(of("request")).alias("requests"), F.array_sort(of("metadata")).alias("metadata"))
 
 
 def _nested() -> Column:
