@@ -30,7 +30,7 @@ LONG = 8
 #: Distinct pages on which it must stand to be boilerplate.
 PAGES = 3
 #: HTML bytes of a shard of a host.
-SHARD_BYTES = 1 << 23
+SHARD_BYTES = 1 << 21
 #: Hosts of more than one shard whose sizes are broadcast; beyond so many they are joined by a shuffle.
 BROADCAST_HOSTS = 1 << 16
 
