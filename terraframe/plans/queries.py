@@ -695,20 +695,29 @@ def conf_filter_commutes_with_nms(spark, sf_dir):
 @query("geotiff_chunks")
 def geotiff_chunks(spark, sf_dir):
     """The surface model written as a GeoTIFF and read back in chunks, cell by cell."""
-    import tempfile
-
     import numpy as np
 
+    from terraframe.operators.components import _folder
     from terraframe.sources import geotiff
 
     a = np.zeros((64, 64), np.float32)
     for r in V.dsm_cells(spark, sf_dir).collect():  # 64 x 64 cells
         a[r["row"], r["col"]] = r["z"]
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}"
-    path = f"{base.rstrip('/')}/dsm.tif" if "://" in base else f"file://{base.rstrip('/')}/dsm.tif"
+    path = f"{_folder(spark)}/dsm.tif"
     from pyarrow import fs
 
     store, name = fs.FileSystem.from_uri(path.rpartition("/")[0])
     store.create_dir(name, recursive=True)
     geotiff.write(path, a, (0.5, 0.0, 100.0, 0.0, -0.5, 200.0), 32635, tile=16, deflate=True)
     return geotiff.cells(geotiff.chunks(spark, path, 32)).select("row", "col", F.round("z", 4).alias("z"))
+
+
+@query("polygon_validity", duck("SELECT id, id % 2 = 1 AS gecerli, round(CASE WHEN id % 2 = 1 THEN area ELSE area / 2 END, 6) AS alan FROM detections", "detections"))
+def polygon_validity(spark, sf_dir):
+    """Boxes and bow ties: rings that cross themselves are told apart, and their area goes by the even-odd rule."""
+    from terraframe.functions.overlap import polygon_overlap, polygon_valid
+
+    x0, y0, x1, y1 = box()
+    tie = F.array(G.point(x0, y0), G.point(x1, y1), G.point(x1, y0), G.point(x0, y1), G.point(x0, y0))
+    d = V.detections(spark, sf_dir).select("id", F.array(F.when(F.col("id") % 2 == 1, G.box_ring(x0, y0, x1, y1)).otherwise(tie)).alias("geom"))
+    return d.select("id", polygon_valid("geom").alias("gecerli"), r6(polygon_overlap("geom", "geom")).alias("alan"))
