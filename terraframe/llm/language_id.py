@@ -90,7 +90,7 @@ def classify(text: str | None, langs, margin: float = MARGIN) -> tuple[str, floa
     """(language, score, rejected). Score: gap / (gap + margin), so 0.5 at the rejection margin; ties go to the language that comes first."""
     b = normalised(text or "")
     if not b or not langs:
-        return UNKNOWN, 0.0, True
+        return UNKNOWN, 0.0, not b
     # word ends count at the text's ends too
     b = b" " + b + b" "
     # the last block takes up to twice the size, so that no scrap of a few bytes decides
@@ -109,8 +109,8 @@ def classify(text: str | None, langs, margin: float = MARGIN) -> tuple[str, floa
 def identify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text", margin: float = MARGIN) -> DataFrame:
     """Adds ``lang_pred``, ``lang_score`` and ``lang_rejected`` to every row.
 
-    A text that is null or has no letter gets ``und``, score 0, rejected; so does all text if
-    there is no dictionary. Columns of these three names are replaced.
+    A text that is null or has no letter gets ``und``, score 0, rejected. If there is no dictionary, all
+    text gets ``und`` and score 0, and none with a letter is rejected. Columns of these three names are replaced.
     """
     docs = docs.drop("lang_pred", "lang_score", "lang_rejected")
 

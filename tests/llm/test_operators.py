@@ -459,4 +459,6 @@ def test_language(spark, none):
     by = {x.doc_id: x for x in got}
     assert all(by[i].lang_pred == "und" and by[i].lang_rejected and by[i].lang_score == 0 for i in (900, 901, 902))
     assert by[903].lang_pred == "en"
+    unlearned = {x.doc_id: x for x in language_id.identify(more.where("doc_id >= 900"), {}).collect()}
+    assert unlearned[901].lang_rejected and not unlearned[903].lang_rejected and {x.lang_pred for x in unlearned.values()} == {"und"}
     assert language_id.learned(none) == {} and language_id.identify(none, {}).count() == 0
