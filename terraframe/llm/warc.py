@@ -104,13 +104,16 @@ def parse(archive: bytes, payloads: bool = True):
 def _inflate(data: bytes) -> bytes:
     if data[:2] != b"\x1f\x8b":
         return data
-    out = []
-    while data:
+    out, at = [], 0
+    while at < len(data):
         z = zlib.decompressobj(31)
-        out.append(z.decompress(data))
-        if not z.eof:
-            raise ValueError("a member ends early")
-        data = z.unused_data
+        # fed bit by bit: what lies behind a member would be copied for each one
+        while not z.eof:
+            part = data[at : at + 4096]
+            if not part:
+                raise ValueError("a member ends early")
+            out.append(z.decompress(part))
+            at += len(part) - len(z.unused_data)
     return b"".join(out)
 
 
