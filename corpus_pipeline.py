@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terraframe.llm import byte_bpe, language_id, mixing, simhash, substring_dedup
+from terraframe.llm import byte_bpe, language_id, mixing, resemblance, substring_dedup
 from terraframe.llm._util import shared_dir, written
 
 
@@ -21,8 +21,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of linked fingerprints stays, that of the smallest id."""
-    return simhash.one_of_each(docs)
+    """One document of each class of texts linked at a similarity of 0.8 on 5-word shingles stays, that of the smallest id."""
+    return resemblance.one_of_each(docs)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +49,7 @@ STAGES = [
     ("mixing", mix),
     ("byte_bpe", tokens),
 ]
-#: Compression sizes, 64-bit majority fingerprints, knapsacks and BPE merges are beyond SQL; tests/llm holds a brute-force version.
+#: Compression sizes, shingle sets, knapsacks and BPE merges are beyond SQL; tests/llm holds a brute-force version.
 ORACLE_SQL = None
 
 

@@ -10,7 +10,7 @@ import sys
 import pytest
 
 import corpus_pipeline
-from terraframe.llm import byte_bpe, language_id, mixing
+from terraframe.llm import byte_bpe, language_id, mixing, resemblance
 from tests.llm.test_operators import brute_fingerprint, brute_targets
 
 HERE = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -101,6 +101,33 @@ def test_pipeline(spark, rows, tmp_path):
     assert sorted((r.doc_id, r.n_tokens) for r in whole) == sorted((r.doc_id, r.n_tokens) for r in got)
 
 
+@pytest.mark.parametrize("small", [2, 16])
+def test_near_duplicates_by_similarity(spark, monkeypatch, small):
+    """The stage links 5-word shingle sets at 0.8 or more, and no others, in small and in large buckets."""
+    monkeypatch.setattr(resemblance, "SMALL", small)
+    r, texts = random.Random(5), []
+    for _ in range(12):
+        w = [f"w{r.randrange(5000)}" for _ in range(r.randrange(60, 200))]
+        for k in range(8):
+            v = list(w)
+            for _ in range(k):
+                v[r.randrange(len(v))] = f"x{r.randrange(5000)}"
+            texts.append(" ".join(v))
+    texts += [texts[0].upper(), "a b", "a b", "A  b", "a c", "", None]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := split((t or "").lower())) else set() for t in texts]
+    alike = lambda a, b: len(a & b) >= 0.8 * len(a | b)
+    first = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if alike(sets[i], sets[j]) and first[i] != first[j]:
+                lo, hi = sorted((first[i], first[j]))
+                first = [lo if f == hi else f for f in first]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.near_duplicates(spark, docs, "").collect()
+    assert len(set(first)) > 20 and sum(alike(a, b) and a != b for a in sets for b in sets) > 50
+    assert sorted(x.doc_id for x in got) == sorted(set(first))
+
+
 def test_empty(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
