@@ -145,7 +145,7 @@ def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "
     below = F.coalesce(F.sum("n").over(Window.partitionBy("source", "size").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     cuts = _with(lengths.withColumn("below", below), plans, ("source", "size")).select("source", "size", "slice", "whole", (F.col("more") - F.col("below")).alias("room"), "n")
     rows = _with(_with(thin, aims), cuts, ("source", "size", "slice"))
-    rank = F.row_number().over(Window.partitionBy("source", "size", "slice").orderBy("draw", "doc_id"))
+    rank = F.row_number().over(Window.partitionBy("source", "size", "slice").orderBy("draw", "doc_id", *also))
     part = rows.where("room > 0 and room < n").withColumn("extra", (rank <= F.col("room")).cast("int"))
     rest = rows.where("not (room > 0 and room < n)").withColumn("extra", (F.col("room") > 0).cast("int"))
     times = F.col("whole") + F.col("extra")
@@ -164,7 +164,9 @@ def _with(left: DataFrame, right: DataFrame, on: tuple[str, ...] = ("source",))
 
 def mixed(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as it is taken."""
-    rows = keyed(docs, id, text)
+    # rows of one id and text but of different columns aren't interchangeable: the key holds the whole row
+    others = [F.struct(F.lit(i), F.col(c)) for i, c in enumerate(docs.columns) if c not in (id, text)]
+    rows = keyed(docs, id, text).withColumn("_th", F.xxhash64("_th", *others))
     times = mix(rows, id, text, source, also=("_th",), **how).groupBy("doc_id", "_th").agg(F.sum("times").alias("n"))
     return by_key(rows, times, id)
 

@@ -355,6 +355,14 @@ def test_mixing(docs, none):
     assert sum(len(split(r.text)) for r in mixing.mixed(docs).collect()) == sum(taken.values())
 
 
+def test_mixed_keeps_columns_of_rows_alike_in_id_and_text(spark):
+    rows = [(1, "a b c d", "en", "s0", 7), (1, "a b c d", "de", "s1", 7), (1, "a b c d", None, "s1", 7), (2, "e f", "en", "s0", 3), (3, "g h i", "en", "s1", 5)]
+    docs = spark.createDataFrame(rows, DOCS)
+    # one weight of each source's own size: every row once
+    got = mixing.mixed(docs, weights=(6, 11)).collect()
+    assert sorted(map(str, got)) == sorted(map(str, docs.collect()))
+
+
 def test_knapsack():
     r = np.random.default_rng(4)
     for _ in range(60):
