@@ -9,7 +9,9 @@ unique runs stay. An article that a page marks as such is kept whole: that
 another page prints the same passage doesn't make it boilerplate.
 
 Plan: blocks are cut in an Arrow map over the scan and travel compressed; hosts
-are sized by an aggregate over slim columns; each shard is one task's group.
+are sized, and copies of a page found, by aggregates over slim columns; each shard
+is one task's group. Of a host with several shards and plain pages, the shards'
+runs are counted first, summed over the host, and joined back to the shards.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -123,10 +126,11 @@ def blocks(page: str) -> list[tuple[str, str]]:
     return out
 
 
-def repeated(tokens: np.ndarray, page: np.ndarray, long: int = LONG, pages: int = PAGES) -> np.ndarray:
+def repeated(tokens: np.ndarray, page: np.ndarray, long: int = LONG, pages: int = PAGES, row: np.ndarray | None = None) -> np.ndarray:
     """True for tokens covered by a run of ``long`` tokens that stands on ``pages`` or more distinct pages.
 
-    ``page`` numbers each token's page, equal pages in one stretch or not. Suffixes are ranked by their first
+    ``page`` numbers each token's page, equal pages in one stretch or not; a negative
+    page is no evidence. ``row`` numbers the stretches where pages don't. Suffixes are ranked by their first
     2, 4, ... tokens until the depth is reached: neighbours of equal rank in the array share that many.
     """
     n = len(tokens)
@@ -135,7 +139,8 @@ def repeated(tokens: np.ndarray, page: np.ndarray, long: int = LONG, pages: int
         return cover[:n] > 0
     rank, depth = tokens.astype(np.int64), 1
     # the last token that a suffix may use; runs don't pass a stretch's end
-    ends = np.append(np.flatnonzero(page[1:] != page[:-1]), n - 1)
+    row = page if row is None else row
+    ends = np.append(np.flatnonzero(row[1:] != row[:-1]), n - 1)
     end = ends[np.searchsorted(ends, np.arange(n))]
     live = np.arange(n)
     while depth < long and len(live):
@@ -163,35 +168,73 @@ def repeated(tokens: np.ndarray, page: np.ndarray, long: int = LONG, pages: int
             live = np.flatnonzero(keep)
     if not len(live):
         return cover[:n] > 0
-    both = np.unique(rank[live] * (int(page.max()) + 1) + page[live])
-    count = np.bincount(both // (int(page.max()) + 1))
+    seen, wide = live[page[live] >= 0], int(page.max()) + 1
+    if not len(seen):
+        return cover[:n] > 0
+    both = np.unique(rank[seen] * wide + page[seen])
+    count = np.bincount(both // wide, minlength=int(rank[live].max()) + 1)
     hit = live[count[rank[live]] >= pages]
     np.add.at(cover, hit, 1)
     np.add.at(cover, hit + long, -1)
     return np.cumsum(cover[:n]) > 0
 
 
-def choose(pages: list[list[tuple[str, str]]], ids: list, long: int = LONG, least: int = PAGES) -> list[str]:
-    """The main text of each page of a host's shard."""
-    words, number, at = [], {}, []
-    page: list[int] = []
-    for own, p in zip(ids, pages, strict=True):
-        k = number.setdefault(own, len(number))
+def runs(words: pa.DictionaryArray, row: np.ndarray, long: int = LONG) -> tuple[np.ndarray, np.ndarray]:
+    """(start, hash) of every run of ``long`` words within a row; the hash is the same in every task."""
+    digest = np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "replace"), 42) for w in words.dictionary.to_pylist()], np.uint64)
+    token, n = digest[words.indices.to_numpy(zero_copy_only=False)], len(words) - long + 1
+    if n <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    run = np.zeros(n, np.uint64)
+    for k in range(long):
+        run = run * np.uint64(0x9E3779B97F4A7C15) + token[k : k + n]
+        run ^= run >> np.uint64(31)
+    start = np.flatnonzero(row[:n] == row[long - 1 :])
+    return start, run[start].view(np.int64)
+
+
+def _wanted(page: list[tuple[str, str]]) -> str:
+    zones = {z for z, _ in page}
+    return ARTICLE if ARTICLE in zones else MAIN if MAIN in zones else PLAIN
+
+
+def _stream(pages: list[list[tuple[str, str]]], ids: list, evidence: list[bool]):
+    """Words of all blocks, each block's start, and for each word its row and its page's number, -1 for what is no evidence."""
+    words, number, at, page, row = [], {}, [], [], []
+    for i, (own, p, ok) in enumerate(zip(ids, pages, evidence, strict=True)):
+        k = number.setdefault(own, len(number)) if ok else -1
         for _, text in p:
             w = text.split(" ")
             at.append(len(words))
             words += w
             page += [k] * len(w)
+            row += [i] * len(w)
+    return pa.array(words, pa.string()).dictionary_encode(), at, np.array(row, np.int64), np.array(page, np.int64)
+
+
+def choose(pages: list[list[tuple[str, str]]], ids: list, evidence: list[bool] | None = None, common: np.ndarray | None = None, long: int = LONG, least: int = PAGES) -> list[str]:
+    """The main text of each page of a host's shard.
+
+    ``evidence`` tells rows that count from copies of a page, of which one does; by default the first. ``common``
+    are the hashes of runs that are boilerplate on the host, where the shard is not all of it.
+    """
+    if evidence is None:
+        evidence = [True] * len(pages)
+    words, at, row, page = _stream(pages, ids, evidence)
     covered = np.zeros(0, bool)
-    if words:
-        tokens = pa.array(words, pa.string()).dictionary_encode().indices.to_numpy(zero_copy_only=False)
-        # repeated rows of a page stay apart by a stretch of their own
-        covered = repeated(tokens, np.array(page), long, least)
+    if len(words):
+        if common is None:
+            covered = repeated(words.indices.to_numpy(zero_copy_only=False).astype(np.int64), page, long, least, row)
+        else:
+            start, run = runs(words, row, long)
+            hit = start[np.isin(run, common)]
+            cover = np.zeros(len(words) + 1, np.int64)
+            cover[hit] += 1
+            cover[hit + long] -= 1
+            covered = np.cumsum(cover[:-1]) > 0
     out, b = [], 0
     for p in pages:
-        zones = {z for z, _ in p}
-        want = ARTICLE if ARTICLE in zones else MAIN if MAIN in zones else PLAIN
-        kept = []
+        want, kept = _wanted(p), []
         for zone, text in p:
             if zone == want:
                 if want == PLAIN:
@@ -208,41 +251,75 @@ def extract(pages: DataFrame, id: str = "page_id", url: str = "url", html: str =
     """One row ``(page_id, url, text, n_chars)`` for each row of ``pages``.
 
     A null html is empty, an empty page has the text "". A null or odd url is of the host "". Rows with equal ids
-    are one page as evidence, and each gets its text.
+    are one page as evidence; each row gets its text. A row without
+    an id is the page of its url.
     """
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^\w+://([^/?#]*)", 1))
-    slim = pages.select(F.col(id).alias("page_id"), F.col(url).alias("url"), host.alias("host"), F.coalesce(F.col(html), F.lit("")).alias("html"))
-    hosts = slim.groupBy("host").agg(F.ceil(F.sum(F.octet_length("html")) / SHARD_BYTES).alias("shards"))
-    large = written(hosts.where("shards > 1"))
+    page = F.when(F.col(id).isNull(), F.xxhash64(F.lit("url"), F.col(url))).otherwise(F.xxhash64(F.lit("id"), F.col(id)))
+    slim = pages.select(F.col(id).alias("page_id"), F.col(url).alias("url"), host.alias("host"), page.alias("page"), F.coalesce(F.col(html), F.lit("")).alias("html"))
+    spark = pages.sparkSession
 
     def cut(batches):
         squeeze = zstandard.ZstdCompressor(level=1)
         for b in batches:
-            out = []
+            out, content, plain, size = [], [], [], []
             for h in b.column("html"):
-                got = blocks(h.as_py())
-                out.append(squeeze.compress("\n".join(["".join(z for z, _ in got), *(t for _, t in got)]).encode("utf-8", "replace")))
-            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), b.column("host"), pa.array(out, pa.binary())], names=["page_id", "url", "host", "blocks"])
+                h = h.as_py()
+                got = blocks(h)
+                raw = "\n".join(["".join(z for z, _ in got), *(t for _, t in got)]).encode("utf-8", "replace")
+                out.append(squeeze.compress(raw))
+                content.append(xxhash.xxh64_intdigest(raw))
+                plain.append(_wanted(got) == PLAIN)
+                size.append(len(h.encode("utf-8", "replace")))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("page_id", "url", "host", "page")), pa.array(out, pa.binary()), pa.array(np.array(content, np.uint64).view(np.int64)), pa.array(plain, pa.bool_()), pa.array(size, pa.int64())], names=["page_id", "url", "host", "page", "blocks", "content", "plain", "size"])
 
     kind = slim.schema["page_id"].dataType.simpleString()
-    packed = slim.mapInArrow(cut, f"page_id {kind}, url string, host string, blocks binary")
-    shard = F.pmod(F.xxhash64("page_id", "url"), F.coalesce("shards", F.lit(1))).alias("shard")
+    packed = written(slim.mapInArrow(cut, f"page_id {kind}, url string, host string, page long, blocks binary, content long, plain boolean, size long"))
+    hosts = packed.groupBy("host").agg(F.ceil(F.sum("size") / SHARD_BYTES).alias("shards"), F.max("plain").alias("wide"))
+    large = written(hosts.where("shards > 1"))
     few = large.count() <= BROADCAST_HOSTS
-    dealt = packed.join(F.broadcast(large) if few else large, "host", "left").select("page_id", "url", "host", "blocks", shard)
+    shard = F.pmod(F.xxhash64("page"), F.coalesce("shards", F.lit(1))).alias("shard")
+    told = packed.join(F.broadcast(large) if few else large, "host", "left")
+    dealt = told.select("page_id", "url", "host", "page", "blocks", F.lit(True).alias("evidence"), F.coalesce("wide", F.lit(False)).alias("wide"), shard)
     if not few:
         # the join's partitions by host would do for groups by host and shard, but not for a hot host
-        dealt = dealt.repartition(shuffle_partitions(pages.sparkSession), "host", "shard")
+        dealt = dealt.repartition(shuffle_partitions(spark), "host", "shard")
 
-    def settle(group):
-        unzip = zstandard.ZstdDecompressor()
-        pages_ = []
+    def opened(group):
+        unzip, out = zstandard.ZstdDecompressor(), []
         for x in group["blocks"]:
             zones, *texts = unzip.decompress(x.as_py()).decode().split("\n")
-            pages_.append(list(zip(zones, texts, strict=False)))
-        text = choose(pages_, group["page_id"].to_pylist())
+            out.append(list(zip(zones, texts, strict=False)))
+        return out
+
+    def settle(group, common=None):
+        text = choose(opened(group), group["page"].to_pylist(), group["evidence"].to_pylist(), common)
         return pa.table({"page_id": group["page_id"], "url": group["url"], "text": pa.array(text, pa.string()), "n_chars": pa.array([len(t) for t in text], pa.int64())})
 
-    return dealt.groupBy("host", "shard").applyInArrow(settle, f"page_id {kind}, url string, text string, n_chars long")
+    def count(group):
+        """Runs of a shard: on how many of its pages each stands, and whether a page here may lose it."""
+        got = opened(group)
+        words, _, row, page = _stream(got, group["page"].to_pylist(), group["evidence"].to_pylist())
+        start, run = runs(words, row)
+        each, number = np.unique(run, return_inverse=True)
+        n, own = np.zeros(len(each), np.int64), np.zeros(len(each), bool)
+        if len(start):
+            seen, wide = page[start] >= 0, int(page.max()) + 1
+            n = np.bincount(np.unique(number[seen] * wide + page[start][seen]) // max(1, wide), minlength=len(each))
+            own[number[np.array([_wanted(p) == PLAIN for p in got])[row[start]]]] = True
+        return pa.table({"host": pa.array(group["host"][:1].to_pylist() * len(each), pa.string()), "shard": pa.array(group["shard"][:1].to_pylist() * len(each), pa.int64()), "run": each, "n": pa.array(n, pa.int64()), "own": own})
+
+    spec = f"page_id {kind}, url string, text string, n_chars long"
+    if large.where("wide").isEmpty():
+        return dealt.groupBy("host", "shard").applyInArrow(lambda group: settle(group), spec)
+    # a host of several shards that has plain pages: what repeats is counted over all of them
+    over = dealt.where("wide")
+    found = written(over.groupBy("host", "shard").applyInArrow(count, "host string, shard long, run long, n long, own boolean"))
+    common = found.groupBy("host", "run").agg(F.sum("n").alias("n")).where(F.col("n") >= PAGES).select("host", "run")
+    common = found.where("own").select("host", "shard", "run").join(common, ["host", "run"])
+    both = over.groupBy("host", "shard").cogroup(common.groupBy("host", "shard"))
+    rest = dealt.where("not wide").groupBy("host", "shard").applyInArrow(lambda group: settle(group), spec)
+    return rest.unionByName(both.applyInArrow(lambda group, more: settle(group, more["run"].to_numpy()), spec))
 
 
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

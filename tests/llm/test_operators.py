@@ -434,6 +434,15 @@ def test_html_repeats(spark):
     assert by[0] == " ".join(f"w0x{k}" for k in range(30)) and by[9] == chrome and by[10] == "" and by[None].startswith("Title & more")
 
 
+def test_html_repeats_over_shards(spark, monkeypatch):
+    """What repeats on a host goes, however many shards it has."""
+    monkeypatch.setattr(html_text, "SHARD_BYTES", 400)
+    chrome, own = "Read our weekly letter and stay in touch with us today", lambda i: " ".join(f"w{i}x{k}" for k in range(30))
+    rows = [(i, f"http://h.example/{i}", f"<body><div>{chrome if i < 3 else ''}</div><p>{own(i)}</p></body>") for i in range(24)]
+    got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == {i: own(i) for i in range(24)}
+
+
 def test_repeated_runs():
     r = np.random.default_rng(0)
     for _ in range(200):
