@@ -219,7 +219,8 @@ def choose(pages: list[list[tuple[str, str]]], ids: list, evidence: list[bool] |
     are the hashes of runs that are boilerplate on the host, where the shard is not all of it.
     """
     if evidence is None:
-        evidence = [True] * len(pages)
+        first: dict = {}
+        evidence = [first.setdefault(tuple(p), own) == own for own, p in zip(ids, pages, strict=True)]
     words, at, row, page = _stream(pages, ids, evidence)
     covered = np.zeros(0, bool)
     if len(words):
@@ -251,7 +252,7 @@ def extract(pages: DataFrame, id: str = "page_id", url: str = "url", html: str =
     """One row ``(page_id, url, text, n_chars)`` for each row of ``pages``.
 
     A null html is empty, an empty page has the text "". A null or odd url is of the host "". Rows with equal ids
-    are one page as evidence; each row gets its text. A row without
+    are one page as evidence, and so are rows of a host with equal blocks; each row gets its text. A row without
     an id is the page of its url.
     """
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^\w+://([^/?#]*)", 1))
@@ -277,10 +278,13 @@ def extract(pages: DataFrame, id: str = "page_id", url: str = "url", html: str =
     packed = written(slim.mapInArrow(cut, f"page_id {kind}, url string, host string, page long, blocks binary, content long, plain boolean, size long"))
     hosts = packed.groupBy("host").agg(F.ceil(F.sum("size") / SHARD_BYTES).alias("shards"), F.max("plain").alias("wide"))
     large = written(hosts.where("shards > 1"))
+    # of the copies of a page, those of one id count
+    copies = written(packed.groupBy("host", "content").agg(F.min("page").alias("first"), F.max("page").alias("last")).where("first != last").select("host", "content", "first"))
     few = large.count() <= BROADCAST_HOSTS
+    some = F.broadcast(copies) if copies.count() <= BROADCAST_HOSTS else copies
     shard = F.pmod(F.xxhash64("page"), F.coalesce("shards", F.lit(1))).alias("shard")
-    told = packed.join(F.broadcast(large) if few else large, "host", "left")
-    dealt = told.select("page_id", "url", "host", "page", "blocks", F.lit(True).alias("evidence"), F.coalesce("wide", F.lit(False)).alias("wide"), shard)
+    told = packed.join(some, ["host", "content"], "left").join(F.broadcast(large) if few else large, "host", "left")
+    dealt = told.select("page_id", "url", "host", "page", "blocks", (F.coalesce("first", "page") == F.col("page")).alias("evidence"), F.coalesce("wide", F.lit(False)).alias("wide"), shard)
     if not few:
         # the join's partitions by host would do for groups by host and shard, but not for a hot host
         dealt = dealt.repartition(shuffle_partitions(spark), "host", "shard")

@@ -434,13 +434,22 @@ def test_html_repeats(spark):
     assert by[0] == " ".join(f"w0x{k}" for k in range(30)) and by[9] == chrome and by[10] == "" and by[None].startswith("Title & more")
 
 
+def test_html_copies(spark):
+    """Copies of a plain page are one page as evidence."""
+    body = " ".join(f"w{k}" for k in range(30))
+    rows = [(i, f"http://h.example/{i}", f"<body><p>{body}</p></body>") for i in range(3)]
+    got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert [r.text for r in got] == [body] * 3
+
+
 def test_html_repeats_over_shards(spark, monkeypatch):
-    """What repeats on a host goes, however many shards it has."""
+    """What repeats on a host goes, however many shards it has; copies are one page there too."""
     monkeypatch.setattr(html_text, "SHARD_BYTES", 400)
     chrome, own = "Read our weekly letter and stay in touch with us today", lambda i: " ".join(f"w{i}x{k}" for k in range(30))
     rows = [(i, f"http://h.example/{i}", f"<body><div>{chrome if i < 3 else ''}</div><p>{own(i)}</p></body>") for i in range(24)]
+    rows += [(100 + i, f"http://h.example/{100 + i}", f"<body><p>{own(99)}</p></body>") for i in range(6)]
     got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
-    assert {r.page_id: r.text for r in got} == {i: own(i) for i in range(24)}
+    assert {r.page_id: r.text for r in got} == {i: own(i) for i in range(24)} | {100 + i: own(99) for i in range(6)}
 
 
 def test_repeated_runs():
