@@ -93,21 +93,38 @@ def by_row(df: DataFrame, row: Callable, ins: list[str], outs: str) -> DataFrame
     return df.mapInArrow(run, spec)
 
 
+def nested(columns: tuple[str, ...] | list[str]) -> Column:
+    """The columns as one struct, so that whatever they are called no name clashes with an operator's own."""
+    return F.struct(*[F.col(f"`{c}`") for c in columns]) if columns else F.struct(F.lit(None).cast("int").alias("none"))
+
+
+def unnested(columns: tuple[str, ...] | list[str], own: tuple[str, ...] = (), row: str = "row") -> list[Column]:
+    """The columns that nested() packed, but for those with a name that the result has of its ``own``."""
+    taken = {c.lower() for c in own}
+    return [F.col(row)[c].alias(c) for c in columns if c.lower() not in taken]
+
+
+def free(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def keyed(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with ``_th``, a hash of the text: with the id it tells rows apart that share an id."""
-    return docs.withColumn("_th", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    """``id, th, body, row``: the id, a hash of the text that tells rows apart that share an id, the text's bytes, and all columns nested."""
+    return docs.select(long_id(id).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("th"), utf8(text).alias("body"), nested(docs.columns).alias("row"))
 
 
-def by_key(docs: DataFrame, decisions: DataFrame, id: str = "doc_id") -> DataFrame:
-    """The keyed() rows that ``decisions`` (``doc_id``, ``_th`` and ``n``, unique) names, each n times, without ``_th``.
+def by_key(rows: DataFrame, decisions: DataFrame, key: tuple[str, ...] = ("id", "th")) -> DataFrame:
+    """The columns of the keyed() rows that ``decisions`` (``key`` and ``n``, unique) names, each n times.
 
-    Repeated rows are one before they are dealt out again. Joined null-safe by id.
+    Repeated rows are one before they are dealt out again.
     """
-    d = decisions.select(long_id("doc_id").alias("_id"), F.col("_th").alias("_t"), F.col("n").cast("int").alias("_n")).where("_n > 0")
-    rows = docs.withColumn("_k", long_id(id))
-    cols = [c for c in docs.columns if c != "_th"]
-    one = rows.join(d, (F.col("_k") == F.col("_id")) & (F.col("_th") == F.col("_t"))).dropDuplicates(["_k", "_th"])
-    return one.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*cols)
+    d = decisions.select(*key, F.col("n").cast("int").alias("n")).where("n > 0")
+    one = rows.select(*key, "row").join(d, list(key)).dropDuplicates(list(key))
+    return one.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("n")))).select("row.*")
 
 
 def pa_schema(spark: SparkSession, ddl: str) -> pa.Schema:

@@ -102,7 +102,7 @@ def codec(vocabulary: str | None = None, pattern: str | None = None, leaf: int =
 
 
 def encode(docs: DataFrame, text: str = "text", vocabulary: str | None = None, pattern: str | None = None) -> DataFrame:
-    """Adds ``ids``, array of int, to every row; a null text counts as empty. A column ``ids`` is replaced."""
+    """Adds ``ids``, array of int, to every row; a null text counts as empty, a text of any length is encoded whole. Repeated rows are encoded each, an empty table gives an empty one. A column ``ids`` is replaced."""
     own = lambda: lambda t: (codec(vocabulary, pattern).encode(t or ""),)
     return by_row(docs.drop("ids"), own, [text], "ids array<int>")
 

@@ -19,7 +19,7 @@ import zlib
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from ._util import by_row, table, utf8
+from ._util import by_row, free, table, utf8
 
 #: Payloads are padded to a positive multiple of so many bytes.
 UNIT = 576
@@ -101,17 +101,18 @@ def pairs(times: np.ndarray, bins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def encode(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds ``media`` (the WAV file) and ``n_bytes`` (of the text, unpadded) to every row; a null text counts as empty.
 
-    An empty text makes one unit of padding. Columns of these names are replaced, and the text's column leaves.
+    An empty text makes one unit of padding; a text of any length is stored whole. Repeated rows are stored each, an empty table gives an empty one. Columns of these names are replaced, and the text's column leaves.
     """
-    bodies = docs.drop("media", "n_bytes").withColumn("_body", utf8(text)).drop(text)
+    body = free(docs, "_body")
+    bodies = docs.drop("media", "n_bytes").withColumn(body, utf8(text)).drop(text)
     own = lambda: lambda b: (to_wav(pad(b)), len(b))
-    return by_row(bodies, own, ["_body"], "media binary, n_bytes long").drop("_body")
+    return by_row(bodies, own, [body], "media binary, n_bytes long").drop(body)
 
 
 def read(rows: DataFrame, media: str = "media", arrays: bool = True) -> DataFrame:
     """Adds what the stored file holds: ``payload`` digests, peak and pair arrays (if ``arrays``) and ``feature``, their summary.
 
-    A null media column value reads as a file without samples.
+    A null media column value reads as a file without samples. Long recordings are transformed a stretch at a time.
     """
     out = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     if arrays:

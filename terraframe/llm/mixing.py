@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._util import by_key, keyed, shared_dir, table, written
+from ._util import by_key, keyed, nested, shared_dir, table, unnested, written
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -28,6 +28,10 @@ SLICES = 4096
 SPAN = 2
 
 
+#: Columns of a mix.
+MIXED = ("doc_id", "size", "source_size", "target", "taken", "times")
+
+
 def size_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
@@ -118,12 +122,12 @@ def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "
 
     ``taken`` is the document's words times how often the mix takes it, at most ``most`` times. A null
     text has size 0 and takes no words; a null source is a source, in last place. Rows that are equal in id and text
-    are interchangeable. An empty table gives an empty one. Reruns agree: ranks come from seeded hashes.
+    are interchangeable; of ``also``, a name that the mix has itself is left out. Texts of any length are counted whole. An empty table gives an empty one. Reruns agree: ranks come from seeded hashes.
     """
     spark = docs.sparkSession
     base = shared_dir(spark)
     draw = F.xxhash64(F.col(id).cast("string"), F.col(text), F.lit(seed))
-    thin = written(docs.select(F.col(id).alias("doc_id"), *also, F.col(source).alias("source"), size_of(F.col(text)).alias("size"), draw.alias("draw"), F.shiftrightunsigned(draw, 64 - SLICES.bit_length() + 1).cast("int").alias("slice")), f"{base}/thin")
+    thin = written(docs.select(F.col(id).alias("doc_id"), nested(also).alias("row"), F.col(source).alias("source"), size_of(F.col(text)).alias("size"), draw.alias("draw"), F.shiftrightunsigned(draw, 64 - SLICES.bit_length() + 1).cast("int").alias("slice")), f"{base}/thin")
     lengths = written(thin.groupBy("source", "size", "slice").agg(F.count("*").alias("n")), f"{base}/lengths")
     sizes = lengths.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     aims = written(targets(written(sizes, f"{base}/sizes"), weights, most), f"{base}/targets")
@@ -145,11 +149,11 @@ def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "
     below = F.coalesce(F.sum("n").over(Window.partitionBy("source", "size").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     cuts = _with(lengths.withColumn("below", below), plans, ("source", "size")).select("source", "size", "slice", "whole", (F.col("more") - F.col("below")).alias("room"), "n")
     rows = _with(_with(thin, aims), cuts, ("source", "size", "slice"))
-    rank = F.row_number().over(Window.partitionBy("source", "size", "slice").orderBy("draw", "doc_id", *also))
+    rank = F.row_number().over(Window.partitionBy("source", "size", "slice").orderBy("draw", "doc_id", "row"))
     part = rows.where("room > 0 and room < n").withColumn("extra", (rank <= F.col("room")).cast("int"))
     rest = rows.where("not (room > 0 and room < n)").withColumn("extra", (F.col("room") > 0).cast("int"))
     times = F.col("whole") + F.col("extra")
-    return part.unionByName(rest).select("doc_id", "size", "source_size", "target", (F.col("size") * times).alias("taken"), times.alias("times"), *also)
+    return part.unionByName(rest).select("doc_id", "size", "source_size", "target", (F.col("size") * times).alias("taken"), times.alias("times"), *unnested(also, MIXED))
 
 
 def _with(left: DataFrame, right: DataFrame, on: tuple[str, ...] = ("source",)) -> DataFrame:
@@ -165,10 +169,11 @@ def _with(left: DataFrame, right: DataFrame, on: tuple[str, ...] = ("source",))
 def mixed(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as it is taken."""
     # rows of one id and text but of different columns aren't interchangeable: the key holds the whole row
-    others = [F.struct(F.lit(i), F.col(c)) for i, c in enumerate(docs.columns) if c not in (id, text)]
-    rows = keyed(docs, id, text).withColumn("_th", F.xxhash64("_th", *others))
-    times = mix(rows, id, text, source, also=("_th",), **how).groupBy("doc_id", "_th").agg(F.sum("times").alias("n"))
-    return by_key(rows, times, id)
+    whole = F.xxhash64(*[F.struct(F.lit(i), F.col(f"row.`{c}`")) for i, c in enumerate(docs.columns)])
+    rows = keyed(docs, id, text).withColumn("th", whole)
+    slim = rows.select("id", "th", F.col(f"row.`{text}`").alias("text"), F.col(f"row.`{source}`").alias("source"))
+    times = mix(slim, "id", "text", "source", also=("th",), **how).groupBy(F.col("doc_id").alias("id"), "th").agg(F.sum("times").alias("n"))
+    return by_key(rows, times)
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from terraframe.operators.components import connected_components
 
-from ._util import by_key, keyed, long_id, null_id, removed, shared_dir, table, utf8, written
+from ._util import by_key, keyed, long_id, nested, null_id, removed, shared_dir, table, unnested, utf8, written
 
 BITS = 64
 SHINGLE = 4
@@ -214,11 +214,12 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", n:
     ``component`` tells classes apart, also where ids repeat or are null.
 
     A null text, like one without words, has fingerprint zero and links like any other. A null id stays
-    null; component_id is the smallest id reachable that is not null. An empty table gives an empty one.
+    null; component_id is the smallest id reachable that is not null. An empty table gives an empty one. Texts of any
+    length are hashed whole. Of ``also``, a name that the result has itself is left out.
     """
     spark = docs.sparkSession
     base = shared_dir(spark)
-    fps = written(fingerprints(docs.select(long_id(id).alias("id"), *also, utf8(text).alias("body")), n), f"{base}/fps")
+    fps = written(fingerprints(docs.select(long_id(id).alias("id"), nested(also).alias("row"), utf8(text).alias("body")), n), f"{base}/fps")
     uniq = written(fps.groupBy("fp").agg(F.min(null_id(F.col("id"))).alias("least")), f"{base}/uniq")
     trees = connected_components(ball_links(uniq, distance), "fp", "root")
     own = uniq.join(trees.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
@@ -226,15 +227,15 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", n:
     named = own.groupBy("component").agg(F.min("least").alias("component_id"))
     by_fp = own.join(named, "component").select("fp", "component_id", "component")
     removed(spark, f"{base}/uniq")
-    return fps.join(by_fp, "fp").select(null_id(F.col("id")).alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "component", *also)
+    return fps.join(by_fp, "fp").select(null_id(F.col("id")).alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "component", *unnested(also, ("doc_id", "fingerprint", "component_id", "component")))
 
 
 def one_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text", n: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
     """``docs`` with one row of each class: that of the smallest id, null last; of rows with that id, the one with the least hash of the text."""
     rows = keyed(docs, id, text)
-    found = near_duplicates(rows, id, text, n, distance, ("_th",))
-    first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_th")).alias("k"))
-    return by_key(rows, first.select("k.doc_id", "k._th", F.lit(1).alias("n")), id)
+    found = near_duplicates(rows.select("id", "th", F.col("body").cast("string").alias("text")), "id", "text", n, distance, ("th",))
+    first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th")).alias("k"))
+    return by_key(rows, first.select(long_id("k.doc_id").alias("id"), "k.th", F.lit(1).alias("n")))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,8 +8,9 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+import zstandard
 
-from terraframe.llm import byte_bpe, html_text, language_id, media, mixing, quality, simhash, substring_dedup, vafile, warc
+from terraframe.llm import byte_bpe, html_text, language_id, media, mixing, quality, resemblance, simhash, substring_dedup, vafile, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega".split()
@@ -140,41 +141,72 @@ def test_simhash_links(spark, monkeypatch, small):
 
 
 def brute_substrings(rows, width):
-    key = lambda r: -(2**63) if r[0] is None else r[0]
-    first, out = {}, []
+    """Every row is a document; ``rows`` come in the documents' order."""
+    seen, out = set(), []
     for r in rows:
-        w = split(r[1])
+        w, gone = split(r[1]), set()
         for k in range(len(w) - width + 1):
             t = tuple(w[k : k + width])
-            first[t] = min(first.get(t, (1 << 62, 0)), (key(r), k))
-    gone = {}
-    for r in rows:
-        w = split(r[1])
-        for k in range(len(w) - width + 1):
-            if first[tuple(w[k : k + width])] < (key(r), k):
-                gone.setdefault(key(r), set()).update(range(k, k + width))
-    for r in rows:
-        w = split(r[1])
-        keep = [x for i, x in enumerate(w) if i not in gone.get(key(r), ())]
+            if t in seen:
+                gone.update(range(k, k + width))
+            seen.add(t)
+        keep = [x for i, x in enumerate(w) if i not in gone]
         out.append((str(r[0]), len(w), len(w) - len(keep), hashlib.sha256(" ".join(keep).encode()).hexdigest()))
     return sorted(out)
 
 
+def in_order(spark, rows, schema, also):
+    """Null ids first, then by id; rows of one id by the operator's hash, so that only their order is taken from it."""
+    df = spark.createDataFrame([(n, *r) for n, r in enumerate(rows)], f"n long, {schema}")
+    keep = substring_dedup.nested(("doc_id", *also))
+    h = {x.n: x.h for x in df.select("n", substring_dedup.F.xxhash64(substring_dedup.utf8("text"), keep).alias("h")).collect()}
+    return [r for _, r in sorted(enumerate(rows), key=lambda x: (-(2**63) if x[1][0] is None else x[1][0], h[x[0]]))]
+
+
 @pytest.mark.parametrize("block", [1 << 23, 300])
-def test_substrings(docs, monkeypatch, block):
+def test_substrings(docs, spark, monkeypatch, block):
     monkeypatch.setattr(substring_dedup, "BLOCK_BYTES", block)
-    rows = [r for r in corpus() if r[0] is not None]
-    got = substring_dedup.dedup(docs.where("doc_id is not null").withColumnRenamed("lang", "_lang")).collect()
-    assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in got) == brute_substrings(rows, 20)
-    got = substring_dedup.dedup(docs.where("doc_id is not null"), width=6).collect()
-    assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in got) == brute_substrings(rows, 6)
+    digest = lambda got: sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in got)
+    got = substring_dedup.dedup(docs.withColumnRenamed("lang", "_lang")).collect()
+    assert digest(got) == brute_substrings(in_order(spark, corpus(), DOCS, ()), 20)
+    got = substring_dedup.dedup(docs, width=6).collect()
+    assert digest(got) == brute_substrings(in_order(spark, corpus(), DOCS, ()), 6)
+
+
+def test_substrings_by_row(spark):
+    """Rows of one id, null ids and equal rows are documents of their own."""
+    w, u = ([f"{k}{i}" for i in range(30)] for k in "wu")
+    rows = [(5, " ".join(w)), (5, " ".join(u)), (None, " ".join(u[:25])), (None, " ".join(w[:24])), (7, " ".join(w[2:29])), (8, "q " * 25), (8, "q " * 25), (9, "z " * 12), (9, "z " * 12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((str(r.doc_id), r.n_words, r.n_removed) for r in substring_dedup.dedup(docs).collect())
+    # the null ids come first: 25 of u and 24 of w are theirs
+    assert got == sorted([("5", 30, 24), ("5", 30, 25), ("None", 25, 0), ("None", 24, 0), ("7", 27, 27), ("8", 25, 24), ("8", 25, 25), ("9", 12, 0), ("9", 12, 0)])
+    assert substring_dedup.dedup(docs.where("false")).count() == 0
+
+
+def test_clashing_names(spark, docs):
+    """Columns called like an operator's own pass through ``also``, or leave where the result has that name."""
+    own = ["id", "th", "body", "row", "keep", "n", "i", "copy", "many", "spans", "_k", "_id", "_t", "_n", "_i", "_th", "_body", "fp", "component", "size", "slice", "draw", "source_size", "n_words", "kept", "node", "times"]
+    few = docs.where("doc_id < 12 and doc_id is not null").dropDuplicates(["doc_id"])
+    odd = few.select("*", *[simhash.F.concat(simhash.F.lit(f"{c}-"), "doc_id").alias(c) for c in own])
+    whole = lambda rows, names: all(r[c] == f"{c}-{r.doc_id}" for r in rows for c in names)
+    got = simhash.near_duplicates(odd, also=tuple(own)).collect()
+    assert len(got) == few.count() and whole(got, set(own) - {"component"})
+    got = mixing.mix(odd, also=tuple(own)).collect()
+    assert len(got) == few.count() and whole(got, set(own) - set(mixing.MIXED))
+    got = substring_dedup.dedup(odd, also=tuple(own)).collect()
+    assert len(got) == few.count() and whole(got, set(own) - {"n_words", "kept"})
+    for one in (simhash.one_of_each(odd), mixing.mixed(odd), resemblance.one_of_each(odd)):
+        assert one.columns == odd.columns and whole(one.collect(), own)
+    got = media.encode(odd).collect()
+    assert whole(got, own)
 
 
 def test_window_hash_clash(monkeypatch):
     """Windows that share a hash but not their words stay apart."""
     text = " ".join(WORDS[:20])
     monkeypatch.setattr(substring_dedup, "rolling", lambda h, n: np.zeros(max(0, len(h) - n + 1), np.uint64))
-    w = substring_dedup.Windows("\n".join([text, text, " ".join(WORDS[4:24]), text]).encode(), np.arange(4), np.zeros(4, np.int64), np.array([20] * 4), 20)
+    w = substring_dedup.Windows("\n".join([text, text, " ".join(WORDS[4:24]), text]).encode(), np.arange(4), np.zeros(4, np.int64), np.zeros(4, np.int64), np.array([20] * 4), 20)
     assert np.flatnonzero(w.repeats()).tolist() == [20, 60]
 
 
@@ -281,6 +313,31 @@ def test_quality(spark):
     assert quality.classify(docs.where("false"), labels).count() == 0
 
 
+def test_normal_equations(spark, monkeypatch):
+    """The sums are those of one loop over all rows, however many partitions and lanes."""
+    monkeypatch.setattr(quality, "LANES", 3)
+    r = np.random.default_rng(6)
+    x, y = r.normal(size=(90, quality.N_STATS)), r.integers(0, 2, 90)
+    df = spark.createDataFrame([(i, x[i].tolist(), int(y[i])) for i in range(90)], "id long, x array<double>, y int").repartition(7)
+    phi = quality.Fourier(x.mean(axis=0), x.std(axis=0))
+    sums, n = quality.normal_equations(df, phi)
+    want = np.zeros_like(sums)
+    for i in range(90):
+        z = np.append(phi(x[i : i + 1])[0], y[i])
+        want[zlib.crc32(b"fold%d" % i) % quality.FOLDS] += np.outer(z, z)
+    assert n == 90 and np.allclose(sums, want)
+    weights, without = quality.ridge(sums, n)
+    total = want.sum(axis=0)
+    fits = []
+    for p in quality.PENALTIES:
+        reg = p * 90 * np.diag([1e-9] + [1.0] * (len(total) - 2))
+        each = [np.linalg.solve((total - s)[:-1, :-1] + reg, (total - s)[:-1, -1]) for s in want]
+        error = sum((y[i] - phi(x[i : i + 1])[0] @ each[zlib.crc32(b"fold%d" % i) % quality.FOLDS]) ** 2 for i in range(90))
+        fits.append((error, np.linalg.solve(total[:-1, :-1] + reg, total[:-1, -1])))
+    best = min(fits, key=lambda f: f[0])[1]
+    assert np.allclose(weights, best, atol=1e-6)
+
+
 def test_isotonic():
     k, v = quality.isotonic(np.array([1.0, 2, 3, 4]), np.array([10.0, 10, 10, 10]), np.array([1.0, 5, 3, 9]))
     assert (np.diff(v) >= 0).all() and len(k) == 3 and k[1] == 2.5
@@ -471,13 +528,45 @@ def test_repeated_runs():
 # language
 
 
+def brute_language(text, learned):
+    """(language, score, rejected) by plain zstandard over every dictionary."""
+    t = " ".join(re.findall(r"[^\W\d_]+", (text or "").lower()))
+    if not t or not learned:
+        return "und", 0.0, not t
+    b, sizes = f" {t} ".encode(), []
+    ends = [*range(0, max(1, len(b) - 2047), 2048), len(b)] if len(b) >= 2048 else [0, len(b)]
+    for n, (lang, raw) in enumerate(learned.items()):
+        p = zstandard.ZstdCompressionParameters.from_level(5, min_match=4, window_log=max(10, (len(raw) + 4096).bit_length()), write_content_size=False, write_checksum=False, write_dict_id=False)
+        c = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=p)
+        sizes.append((sum(len(c.compress(b[i:j])) for i, j in zip(ends, ends[1:], strict=False) if j > i), n, lang))
+    sizes.sort()
+    gap = (sizes[1][0] - sizes[0][0]) / sizes[1][0] if len(sizes) > 1 else 1.0
+    return sizes[0][2], gap / (gap + 0.004) if len(sizes) > 1 else 1.0, gap < 0.004
+
+
+def test_language_by_brute_force(spark, docs):
+    """Dictionaries hold the sampled documents whole; sizes are plain zstandard's; ties are rejected at any length."""
+    learned = language_id.train(docs.where("doc_id is not null"))
+    assert set(learned) == {"en", "fr"}
+    for k, raw in learned.items():
+        mine = [r[1] for r in corpus() if r[0] is not None and r[2] == k and re.search(r"[^\W\d_]", r[1] or "")]
+        assert sorted(raw.decode().split("\n")) == sorted(" ".join(re.findall(r"[^\W\d_]+", t.lower())) for t in mine)
+        assert language_id.train(docs, sample=3)[k].count(b"\n") == 2
+    got = language_id.identify(docs, learned).collect()
+    for r in got:
+        lang, score, rejected = brute_language(r.text, learned)
+        assert (r.lang_pred, r.lang_rejected) == (lang, rejected) and abs(r.lang_score - score) < 1e-9
+    twice = {"a": learned["en"], "b": learned["en"]}
+    assert language_id.classify("tie", language_id.compressors(twice)) == ("a", 0.0, True)
+
+
 def test_language(spark, none):
     words = {"en": "the and of with this that from have were been which their would there could".split(), "de": "der die und nicht eine werden haben sich auch durch zwischen über müssen können".split(), "fr": "les des une dans pour avec cette être sont nous vous leur très après même".split()}
     r = random.Random(2)
     rows = [(i, " ".join(r.choice(words[k]) for _ in range(r.randrange(30, 90))), k) for i, k in enumerate(["en", "de", "fr"] * 60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     learned = language_id.learned(docs)
-    assert set(learned) == set(words) and all(len(v) <= language_id.DICT_BYTES for v in learned.values())
+    assert set(learned) == set(words)
     more = docs.unionByName(spark.createDataFrame([(900, None, None), (901, "12 345 !!", "en"), (902, "", "de"), (None, rows[0][1], "en"), (903, "the and of with this " * 4000, "en")], docs.schema))
     got = language_id.identify(more.withColumnRenamed("lang", "lang_score"), learned).collect()
     right = [x.lang_pred == rows[x.doc_id][2] for x in got if x.doc_id is not None and x.doc_id < 900]

@@ -11,7 +11,7 @@ import pytest
 
 import corpus_pipeline
 from terraframe.llm import byte_bpe, language_id, mixing, resemblance
-from tests.llm.test_operators import brute_fingerprint, brute_targets
+from tests.llm.test_operators import brute_language, brute_targets
 
 HERE = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 LANGS = {
@@ -41,12 +41,16 @@ def rows():
     return [*map(tuple, out), (300, None, None, None, None), (301, "", "en", "s0", 0), (302, "123 456", "en", "s0", 7), (303, out[3][1].upper(), "en", "s2", 5)]
 
 
+def shingle_set(text):
+    w = split(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
 def plain(spark, rows):
-    """(doc_id: times, texts) by loops over the rows; the models of language ID are the operator's own."""
+    """(doc_id: times, texts) by loops over the rows; of the operators only the dictionaries of language ID are used."""
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    langs = language_id.compressors(language_id.learned(docs))
-    rows = [r for r in rows if not language_id.classify(r[1], langs)[2]]
-    fps, kept = [], []
+    langs = language_id.learned(docs)
+    rows = [r for r in rows if not brute_language(r[1], langs)[2]]
     parent = list(range(len(rows)))
 
     def find(i):
@@ -54,10 +58,10 @@ def plain(spark, rows):
             i = parent[i]
         return i
 
-    fps = [brute_fingerprint(r[1]) for r in rows]
+    sets = [shingle_set(r[1]) for r in rows]
     for i in range(len(rows)):
         for j in range(i):
-            if (fps[i] ^ fps[j]).bit_count() <= 4:
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
                 a, b = find(i), find(j)
                 parent[max(a, b, key=lambda k: rows[k][0])] = min(a, b, key=lambda k: rows[k][0])
     kept = [r for i, r in enumerate(rows) if find(i) == i]
@@ -101,10 +105,10 @@ def test_pipeline(spark, rows, tmp_path):
     assert sorted((r.doc_id, r.n_tokens) for r in whole) == sorted((r.doc_id, r.n_tokens) for r in got)
 
 
-@pytest.mark.parametrize("small", [2, 16])
-def test_near_duplicates_by_similarity(spark, monkeypatch, small):
-    """The stage links 5-word shingle sets at 0.8 or more, and no others, in small and in large buckets."""
-    monkeypatch.setattr(resemblance, "SMALL", small)
+@pytest.mark.parametrize("side", [2, 512])
+def test_near_duplicates_by_similarity(spark, monkeypatch, side):
+    """The stage links 5-word shingle sets at 0.8 or more, and no others, whatever the blocks of a bucket."""
+    monkeypatch.setattr(resemblance, "SIDE", side)
     r, texts = random.Random(5), []
     for _ in range(12):
         w = [f"w{r.randrange(5000)}" for _ in range(r.randrange(60, 200))]
@@ -114,7 +118,7 @@ def test_near_duplicates_by_similarity(spark, monkeypatch, small):
                 v[r.randrange(len(v))] = f"x{r.randrange(5000)}"
             texts.append(" ".join(v))
     texts += [texts[0].upper(), "a b", "a b", "A  b", "a c", "", None]
-    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := split((t or "").lower())) else set() for t in texts]
+    sets = [shingle_set(t) for t in texts]
     alike = lambda a, b: len(a & b) >= 0.8 * len(a | b)
     first = list(range(len(texts)))
     for i in range(len(texts)):
@@ -128,6 +132,33 @@ def test_near_duplicates_by_similarity(spark, monkeypatch, small):
     assert sorted(x.doc_id for x in got) == sorted(set(first))
 
 
+def test_buckets_are_settled(spark, monkeypatch):
+    """Every two nodes of a bucket are of one component or compared, also where the leader is like nobody."""
+    monkeypatch.setattr(resemblance, "SIDE", 3)
+    r, texts = random.Random(8), []
+    for _ in range(6):
+        w = [f"w{r.randrange(5000)}" for _ in range(80)]
+        texts += [" ".join(w), " ".join([*w, "tail"]), " ".join([*w[:-1], "end"])]
+    texts += [" ".join(f"z{r.randrange(5000)}" for _ in range(40)) for _ in range(5)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    # one bucket for all
+    one = resemblance.written(resemblance._sets(docs.selectExpr("doc_id + 1 as node", "cast(text as binary) as body"), 5))
+    met = one.selectExpr("node", "1L as band")
+    comps = spark.createDataFrame([(2, 1), (1, 1)], "node long, comp long")
+    late = resemblance._split(met, comps).join(one, "node").groupBy("band", "i", "j").applyInArrow(lambda g: resemblance._met(g, resemblance.LEAST), "a long, b long").collect()
+    parent = {i + 1: i + 1 for i in range(len(texts))}
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in [(1, 2), *((x.a, x.b) for x in late)]:
+        parent[find(a)] = find(b)
+    classes = {frozenset(j for j in parent if find(j) == find(i)) for i in parent}
+    assert classes == {frozenset((3 * k + 1, 3 * k + 2, 3 * k + 3)) for k in range(6)} | {frozenset((i + 1,)) for i in range(18, 23)}
+
+
 def test_empty(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
