@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._util import long_id, pa_schema, shuffle_partitions, table, utf8
+from ._util import long_id, nested, pa_schema, shared_dir, shuffle_partitions, table, unnested, utf8, written
 
 WIDTH = 20
 #: Words whose joint hash is a candidate minimiser: enough that single frequent words don't attract windows.
@@ -36,8 +36,11 @@ MINIMISER = 4
 BLOCK_BYTES = 1 << 23
 #: Bytes whose words are hashed at a time.
 SLICE_BYTES = 1 << 18
-#: Bytes of text for each bucket, at most.
+#: Bytes of text for each bucket, at most, and for each partition of buckets.
 BUCKET_BYTES = 1 << 21
+PARTITION_BYTES = 1 << 28
+#: Ids of several rows up to which they are broadcast; more are joined by a shuffle.
+BROADCAST_IDS = 1 << 16
 
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _PINV = np.uint64(pow(int(_P), -1, 1 << 64))
@@ -115,14 +118,14 @@ def spans(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Windows:
     """All windows of some stretches of words: which repeat, and which comes first among equals."""
 
-    def __init__(self, buf: bytes, doc: np.ndarray, base: np.ndarray, n_words: np.ndarray, width: int):
-        """Stretch i has n_words[i] words of document doc[i], from its word base[i] on; ``buf`` holds their words in turn."""
+    def __init__(self, buf: bytes, doc: np.ndarray, row: np.ndarray, base: np.ndarray, n_words: np.ndarray, width: int):
+        """Stretch i has n_words[i] words of document (doc[i], row[i]), from its word base[i] on; ``buf`` holds their words in turn."""
         self.width, self.buf = width, np.frombuffer(buf, np.uint8)
         self.starts, self.ends = words(self.buf)
         self.h = word_hashes(self.buf, self.starts, self.ends)
         owner = np.repeat(np.arange(len(n_words)), n_words)
         first = np.cumsum(n_words) - n_words
-        self.doc, self.at = doc[owner], base[owner] + np.arange(len(owner)) - first[owner]
+        self.doc, self.row, self.at = doc[owner], row[owner], base[owner] + np.arange(len(owner)) - first[owner]
         self.roll = rolling(self.h, width)
         self.whole = owner[: len(self.roll)] == owner[width - 1 :] if len(self.roll) else np.zeros(0, bool)
         self.owner = owner
@@ -137,13 +140,14 @@ class Windows:
         todo = todo[np.concatenate([same, [False]]) | np.concatenate([[False], same])] if len(todo) else todo
         while len(todo):
             # the earliest of each hash leads; equals of the leader are settled, windows that only share its hash go round again
-            todo = todo[np.lexsort((self.at[todo], self.doc[todo], self.roll[todo]))]
+            todo = todo[np.lexsort((self.at[todo], self.row[todo], self.doc[todo], self.roll[todo]))]
             r = self.roll[todo]
             head = np.concatenate([[True], r[1:] != r[:-1]])
             lead = todo[np.flatnonzero(head)[np.cumsum(head) - 1]]
             equal = self.equal(todo, lead)
             # the same window of one document, read twice, is not earlier than itself
-            out[todo[equal & ((self.doc[todo] != self.doc[lead]) | (self.at[todo] != self.at[lead]))]] = True
+            apart = (self.doc[todo] != self.doc[lead]) | (self.row[todo] != self.row[lead]) | (self.at[todo] != self.at[lead])
+            out[todo[equal & apart]] = True
             todo = todo[~equal]
         return out
 
@@ -182,70 +186,71 @@ def pack(w: Windows, travel: np.ndarray, buckets: int, minimiser: int):
     cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
     view, zip_ = memoryview(w.buf), zstandard.ZstdCompressor(level=3)
     for i, j in zip(cuts, cuts[1:], strict=False):
-        head = np.stack([w.doc[start[i:j]], w.at[start[i:j]], count[i:j]]).astype(np.int64).tobytes()
+        head = np.stack([w.doc[start[i:j]], w.row[start[i:j]], w.at[start[i:j]], count[i:j]]).astype(np.int64).tobytes()
         body = b"\n".join([view[a:b] for a, b in zip(lo[i:j].tolist(), hi[i:j].tolist(), strict=True)])
         yield int(bucket[i]), int(j - i), zip_.compress(head + body)
 
 
-def unpack(rows) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+def unpack(rows) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     heads, bodies, unzip = [], [], zstandard.ZstdDecompressor()
     for n, blob in rows:
         raw = unzip.decompress(blob)
-        heads.append(np.frombuffer(raw, np.int64, 3 * n).reshape(3, n))
-        bodies.append(raw[24 * n :])
-    doc, base, count = np.concatenate(heads, axis=1) if heads else np.zeros((3, 0), np.int64)
-    return b"\n".join(bodies), doc, base, count
-
-
-def _by_document(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray):
-    order = np.lexsort((lo, doc))
-    doc, lo, hi = doc[order], lo[order], hi[order]
-    cuts = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1], [True]])) if len(doc) else []
+        heads.append(np.frombuffer(raw, np.int64, 4 * n).reshape(4, n))
+        bodies.append(raw[32 * n :])
+    doc, row, base, count = np.concatenate(heads, axis=1) if heads else np.zeros((4, 0), np.int64)
+    return b"\n".join(bodies), doc, row, base, count
+
+
+def _by_document(w: Windows, lo: np.ndarray, hi: np.ndarray):
+    """(document, row, packed spans) for runs lo..hi of windows."""
+    doc, row, lo, hi = w.doc[lo], w.row[lo], w.at[lo], w.at[hi - 1] + 1
+    order = np.lexsort((lo, row, doc))
+    doc, row, lo, hi = doc[order], row[order], lo[order], hi[order]
+    cuts = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (row[1:] != row[:-1]), [True]])) if len(doc) else []
     for i, j in zip(cuts, cuts[1:], strict=False):
-        yield int(doc[i]), np.stack([lo[i:j], hi[i:j]]).astype(np.int32).tobytes()
+        yield int(doc[i]), int(row[i]), np.stack([lo[i:j], hi[i:j]]).astype(np.int32).tobytes()
 
 
 def removed_spans(docs: DataFrame, width: int = WIDTH, minimiser: int = MINIMISER) -> DataFrame:
-    """``docs`` has ``id`` and the bytes ``body``; returns ``id`` and ``spans``: packed starts and ends of runs of removed windows' starts, in words."""
+    """``docs`` has ``id``, ``row`` (both long; documents in their order) and the bytes ``body``; returns ``id``, ``row`` and ``spans``: packed starts and ends of runs of removed windows' starts, in words."""
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     buckets = max(shuffle_partitions(spark), -(-size // BUCKET_BYTES))
-    schema = "bucket long, n int, blob binary, id long"
+    schema = "bucket long, n int, blob binary, id long, row long"
 
     def cut(batches):
-        def rows(ids, bodies):
-            ids = np.array(ids, np.int64)
+        def rows(ids, each, bodies):
+            ids, each = np.array(ids, np.int64), np.array(each, np.int64)
             buf = b"\n".join(bodies)
             own = np.cumsum([len(b) + 1 for b in bodies]) - 1  # where each body ends in buf
             starts, _ = words(np.frombuffer(buf, np.uint8))
             n = np.diff(np.concatenate([[0], np.searchsorted(starts, own)]))
-            w = Windows(buf, ids, np.zeros(len(ids), np.int64), n, width)
+            w = Windows(buf, ids, each, np.zeros(len(ids), np.int64), n, width)
             again = w.repeats()
             for b, k, blob in pack(w, w.whole & ~again, buckets, minimiser):
-                yield b, k, blob, None
-            lo, hi = spans(again)
+                yield b, k, blob, None, None
             # a run of windows may pass from one document to the next
-            lo, hi = _cut_runs(lo, hi, w.owner)
-            for d, packed in _by_document(w.doc[lo], w.at[lo], w.at[hi - 1] + 1):
-                yield buckets + d % buckets, 0, packed, d
+            for d, r, packed in _by_document(w, *_cut_runs(*spans(again), w.owner)):
+                yield buckets + (d ^ r) % buckets, 0, packed, d, r
 
         for some in _blocks(batches, BLOCK_BYTES):
             got = list(rows(*some))
-            cols = list(zip(*got, strict=True)) or [(), (), (), ()]
+            cols = list(zip(*got, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, pa_schema_, strict=True)], names=pa_schema_.names)
 
     pa_schema_ = pa_schema(spark, schema)
 
     def settle(key, group):
         if key[0].as_py() >= buckets:  # spans settled before the shuffle pass by
-            return group.select(["id", "blob"]).rename_columns(["id", "spans"])
+            return group.select(["id", "row", "blob"]).rename_columns(["id", "row", "spans"])
         w = Windows(*unpack(zip(group["n"].to_pylist(), group["blob"].to_pylist(), strict=True)), width)
-        lo, hi = _cut_runs(*spans(w.repeats()), w.owner)
-        got = list(_by_document(w.doc[lo], w.at[lo], w.at[hi - 1] + 1))
-        return pa.table({"id": pa.array([d for d, _ in got], pa.int64()), "spans": pa.array([s for _, s in got], pa.binary())})
+        got = list(_by_document(w, *_cut_runs(*spans(w.repeats()), w.owner)))
+        return pa.table({"id": pa.array([d for d, _, _ in got], pa.int64()), "row": pa.array([r for _, r, _ in got], pa.int64()), "spans": pa.array([x for _, _, x in got], pa.binary())})
 
-    packed = docs.select("id", "body").mapInArrow(cut, schema)
-    return packed.groupBy("bucket").applyInArrow(settle, "id long, spans binary")
+    packed = docs.select("id", "row", "body").mapInArrow(cut, schema)
+    # by the size of the texts, whatever the session's number of partitions is
+    dealt = packed.repartition(max(shuffle_partitions(spark), -(-size // PARTITION_BYTES)), "bucket")
+    return dealt.groupBy("bucket").applyInArrow(settle, "id long, row long, spans binary")
 
 
 def _cut_runs(lo: np.ndarray, hi: np.ndarray, owner: np.ndarray):
@@ -263,17 +268,18 @@ def _cut_runs(lo: np.ndarray, hi: np.ndarray, owner: np.ndarray):
 
 
 def _blocks(batches, size: int):
-    ids, bodies, have = [], [], 0
+    ids, rows, bodies, have = [], [], [], 0
     for b in batches:
-        for i, x in zip(b.column("id").to_pylist(), b.column("body"), strict=True):
+        for i, r, x in zip(b.column("id").to_pylist(), b.column("row").to_pylist(), b.column("body"), strict=True):
             ids.append(i)
+            rows.append(r)
             bodies.append(x.as_py())
             have += len(bodies[-1])
             if have >= size:
-                yield ids, bodies
-                ids, bodies, have = [], [], 0
+                yield ids, rows, bodies
+                ids, rows, bodies, have = [], [], [], 0
     if ids:
-        yield ids, bodies
+        yield ids, rows, bodies
 
 
 def kept_words(body: bytes, packed: list[bytes] | None, width: int = WIDTH) -> tuple[int, list[bytes]]:
@@ -290,39 +296,50 @@ def kept_words(body: bytes, packed: list[bytes] | None, width: int = WIDTH) -> t
     return len(all_), [w for w, k in zip(all_, keep.tolist(), strict=True) if k]
 
 
-def with_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
-    """``docs`` with ``_body``, the text's bytes, and ``_spans``, all packed spans of its document.
-
-    Rows that share an id are one document in several rows: windows at equal places count as the same,
-    and what goes from one goes from all. Null ids are one id, before all others.
-    """
-    keyed = docs.withColumn("_id", long_id(id)).withColumn("_body", utf8(text))
-    found = removed_spans(keyed.select(F.col("_id").alias("id"), F.col("_body").alias("body")), width)
-    by = found.groupBy(F.col("id").alias("_id")).agg(F.collect_list("spans").alias("_spans"))
-    return keyed.join(by, "_id", "left")
+def with_rows(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """``docs`` (``id``, ``body``, ``keep``) with ``row``: 0 for an id of one row, else a hash of the row; whether any is of the second kind."""
+    many = written(docs.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id", F.lit(True).alias("many")), f"{shared_dir(docs.sparkSession)}/many")
+    if not (n := many.count()):
+        return docs.withColumn("row", F.lit(0).cast("long")), False
+    told = docs.join(F.broadcast(many) if n <= BROADCAST_IDS else many, "id", "left")
+    return told.withColumn("row", F.when(F.col("many"), F.xxhash64("body", "keep")).otherwise(F.lit(0)).cast("long")).drop("many"), True
 
 
 def dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = WIDTH, also: tuple[str, ...] = (), verbatim: bool = False) -> DataFrame:
-    """``docs``, its columns ``also`` kept, with ``n_words``, ``n_removed``, ``kept`` (kept words joined by one space) and ``kept_sha256``.
+    """The id of each row of ``docs`` and its columns ``also`` with ``n_words``, ``n_removed``, ``kept`` (kept words joined by one space) and ``kept_sha256``.
 
-    With ``verbatim``, a text that loses no word stays as it is. Every row returns. A null text has no words; so has an empty one. Fewer than ``width`` words are never removed.
+    With ``verbatim``, a text that loses no word stays as it is. Every row returns; texts of any length are taken whole. A null text has no words; so
+    has an empty one. Fewer than ``width`` words are never removed. Each row is a document of its own: those of one id come in the order of a hash of
+    the row, null ids before all others, and of equal rows one is the earlier document, so the others lose all their windows. An
+    empty table gives an empty one. Of ``also``, a name that the result has itself is left out.
     """
-    with_ = with_spans(docs.select(*dict.fromkeys((id, text, *also))), id, text, width)
     out = "n_words long, n_removed long, kept string, kept_sha256 string"
-    added, names = pa_schema(docs.sparkSession, out), list(dict.fromkeys((id, *also)))
+    added, slim = pa_schema(docs.sparkSession, out), docs.select(nested(dict.fromkeys((id, *also))).alias("keep"), long_id(id).alias("id"), utf8(text).alias("body"))
+    rows, repeats = with_rows(slim)
+    found = removed_spans(rows, width).groupBy("id", "row").agg(F.collect_list("spans").alias("spans"))
+    told = rows.join(found, ["id", "row"], "left")
+    parts = [told.where("row = 0").withColumn("copy", F.lit(1))] if repeats else [told.withColumn("copy", F.lit(1))]
+    if repeats:
+        # of equal rows one stands for all until here
+        one = told.where("row != 0").groupBy("id", "row").agg(*[F.first(c).alias(c) for c in ("keep", "body", "spans")], F.count("*").cast("int").alias("n"))
+        parts.append(one.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n")))))
 
     def run(batches):
         for b in batches:
             got = []
-            for body, packed in zip(b.column("_body"), b.column("_spans"), strict=True):
+            for body, packed, copy in zip(b.column("body"), b.column("spans"), b.column("copy").to_pylist(), strict=True):
                 n, keep = kept_words(body.as_py(), packed.as_py(), width)
+                if copy > 1 and n >= width:
+                    keep = []
                 joined = b" ".join(keep)
                 got.append((n, n - len(keep), (body.as_py() if verbatim and len(keep) == n else joined).decode("utf-8", "replace"), hashlib.sha256(joined).hexdigest()))
             cols = list(zip(*got, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([b.column(c) for c in names] + [pa.array(v, f.type) for v, f in zip(cols, added, strict=True)], names=names + added.names)
+            yield pa.RecordBatch.from_arrays([b.column("keep")] + [pa.array(v, f.type) for v, f in zip(cols, added, strict=True)], names=["keep"] + added.names)
 
-    spec = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names) + ", " + out
-    return with_.select(*names, "_body", "_spans").mapInArrow(run, spec)
+    spec = f"keep {slim.schema['keep'].dataType.simpleString()}, {out}"
+    each = [x.select("keep", "body", "spans", "copy").mapInArrow(run, spec) for x in parts]
+    whole = each[0].unionByName(each[1]) if repeats else each[0]
+    return whole.select(*unnested(tuple(dict.fromkeys((id, *also))), tuple(added.names), "keep"), *added.names)
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
