@@ -14,23 +14,17 @@ from __future__ import annotations
 import re
 
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._util import by_row, id_bucket, table
 
-#: Bytes of a dictionary; zstandard finds matches anywhere in it while a block is short.
-DICT_BYTES = 1 << 17
-#: Each sampled document gives at most so many bytes, so that no document rules a dictionary.
-PIECE_BYTES = 1024
-#: Bound of the sample: documents read per language. A multiple of DICT_BYTES / PIECE_BYTES, for short ones.
-SAMPLE_DOCS = 512
+#: Bound of the sample: documents read per language, each whole. A language's dictionary is their text and nothing else.
+SAMPLE_DOCS = 256
 #: Bytes compressed at a time. Whole texts are scored, block by block: beyond a few KB a text's own past serves it better than any dictionary.
 BLOCK_BYTES = 2048
 #: Relative gap between the two smallest sizes under which a prediction is rejected.
 MARGIN = 0.004
-#: Shorter texts differ by whole bytes or not at all: a tie there says nothing, goes to the language with the most training documents, and is no reason to reject.
-SHORT_BYTES = 128
 UNKNOWN = "und"
 
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
@@ -41,45 +35,36 @@ def normalised(text: str) -> bytes:
     return _NOT_LETTERS.sub(" ", text.lower()).strip().encode("utf-8", "replace")
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang", order: str = "doc_id", seed: int = 42) -> dict[str, bytes]:
-    """A dictionary for each language of ``docs``, those with most documents first, from at most SAMPLE_DOCS documents of each, by seeded hash.
+def train(docs: DataFrame, text: str = "text", lang: str = "lang", order: str = "doc_id", seed: int = 42, sample: int = SAMPLE_DOCS) -> dict[str, bytes]:
+    """A dictionary for each language of ``docs``, those with most documents first, from at most ``sample`` documents of each, by seeded hash of ``order``.
 
-    Rows with a null text or language, or without letters, are left out. The languages are a
-    catalogue: a dictionary each is held by the driver and sent to the workers.
+    ``sample`` is the one bound: the sampled documents are taken whole, however long, and a dictionary holds all of them. It
+    also bounds the driver's memory, to so many documents a language. Rows with a null text or language, or
+    without letters, are left out; repeated rows are drawn like any other. The languages are a
+    catalogue: a dictionary each is held by the driver and sent to the workers. An empty table gives no dictionary.
     """
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
     counts = {r[0]: r[1] for r in rows.groupBy(lang).count().collect()}
     if not counts:
         return {}
-    share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, 2 * SAMPLE_DOCS / n)))])
+    share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, 2 * sample / n)))])
     draw = F.xxhash64(F.col(order).cast("string"), F.lit(seed))
-    # a piece from a seeded place of the text
-    at = F.pmod(draw, F.greatest(F.lit(1), F.length(text) - PIECE_BYTES + 1)).cast("int") + 1
-    drawn = rows.select(F.col(lang).alias("lang"), draw.alias("h"), F.substr(F.col(text), at, F.lit(PIECE_BYTES)).alias("text")).where(F.pmod("h", F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
-    # on average twice the bound remains; the rest goes by rank
-    kept = drawn.groupBy("lang").applyInArrow(_pieces, "lang string, h long, piece binary")
+    # on average twice the bound remains; the rest goes by rank, texts behind
+    drawn = rows.where(F.pmod(draw, F.lit(1 << 20)) < share[F.col(lang)] * (1 << 20)).select(F.col(lang).alias("lang"), draw.alias("h"), F.col(text).alias("text"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", F.xxhash64("text"), "text"))
     by: dict[str, list] = {}
-    for r in kept.collect():
-        by.setdefault(r.lang, []).append((r.h, bytes(r.piece)))
-    # the densest text last: zstandard reaches the end of a dictionary with the shortest offsets
-    return {k: b"\n".join(p for _, p in sorted(v))[:DICT_BYTES] for k, v in sorted(by.items(), key=lambda x: (-counts[x[0]], x[0]))}
-
-
-def _pieces(group):
-    import pyarrow as pa
-
-    out, got = [], sorted(zip(group["h"].to_pylist(), group["text"].to_pylist(), strict=True))[:SAMPLE_DOCS]
-    for h, text in got:
-        out.append((h, normalised(text)))
-    n = len(out)
-    return pa.table({"lang": group["lang"][:1].to_pylist() * n, "h": pa.array([h for h, _ in out], pa.int64()), "piece": pa.array([p for _, p in out], pa.binary())})
+    for r in drawn.withColumn("rank", rank).where(F.col("rank") <= sample).select("lang", "rank", "text").toLocalIterator():
+        by.setdefault(r.lang, []).append((r.rank, normalised(r.text)))
+    return {k: b"\n".join(t for _, t in sorted(v)) for k, v in sorted(by.items(), key=lambda x: (-counts[x[0]], x[0]))}
 
 
 def compressors(dictionaries: dict[str, bytes]) -> list[tuple[str, zstandard.ZstdCompressor]]:
-    params = zstandard.ZstdCompressionParameters.from_level(5, min_match=4, write_content_size=False, write_checksum=False, write_dict_id=False)
     out = []
     for lang, raw in dictionaries.items():
         if len(raw) >= 8:
+            # matches reach back over the whole dictionary
+            window = min(zstandard.WINDOWLOG_MAX, max(zstandard.WINDOWLOG_MIN, (len(raw) + 2 * BLOCK_BYTES).bit_length()))
+            params = zstandard.ZstdCompressionParameters.from_level(5, min_match=4, window_log=window, write_content_size=False, write_checksum=False, write_dict_id=False)
             d = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(compression_params=params)
             out.append((lang, zstandard.ZstdCompressor(dict_data=d, compression_params=params)))
@@ -87,7 +72,7 @@ def compressors(dictionaries: dict[str, bytes]) -> list[tuple[str, zstandard.Zst
 
 
 def classify(text: str | None, langs, margin: float = MARGIN) -> tuple[str, float, bool]:
-    """(language, score, rejected). Score: gap / (gap + margin), so 0.5 at the rejection margin; ties go to the language that comes first."""
+    """(language, score, rejected). Score: gap / (gap + margin), so 0.5 at the rejection margin; ties, which go to the language that comes first, have score 0 and are rejected at any length."""
     b = normalised(text or "")
     if not b or not langs:
         return UNKNOWN, 0.0, not b
@@ -101,8 +86,6 @@ def classify(text: str | None, langs, margin: float = MARGIN) -> tuple[str, floa
     if len(sizes) == 1:
         return best, 1.0, False
     gap = (sizes[1][0] - sizes[0][0]) / sizes[1][0]
-    if not gap and len(b) < SHORT_BYTES:
-        return best, 0.5, False
     return best, gap / (gap + margin), gap < margin
 
 
@@ -110,7 +93,8 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text"
     """Adds ``lang_pred``, ``lang_score`` and ``lang_rejected`` to every row.
 
     A text that is null or has no letter gets ``und``, score 0, rejected. If there is no dictionary, all
-    text gets ``und`` and score 0, and none with a letter is rejected. Columns of these three names are replaced.
+    text gets ``und`` and score 0, and none with a letter is rejected. Texts of any length are compressed whole, in
+    blocks; repeated rows and equal texts get equal values. Columns of these three names are replaced.
     """
     docs = docs.drop("lang_pred", "lang_score", "lang_rejected")
 
