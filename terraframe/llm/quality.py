@@ -10,9 +10,11 @@ bins, are calibrated by isotonic regression.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +28,8 @@ BINS = 2048
 PENALTIES = (1e-4, 1e-3, 1e-2, 1e-1)
 #: Rows of the normal equations that are summed as one block.
 ROWS = 32
+#: Sums that a first level makes of each block, before a second adds those up.
+LANES = 64
 
 _CLASSES = {
     "lower": b"abcdefghijklmnopqrstuvwxyz",
@@ -122,25 +126,31 @@ def normal_equations(train: DataFrame, phi: Fourier) -> tuple[np.ndarray, int]:
     d = FEATURES + N_STATS + 2
 
     def local(batches):
-        sums = np.zeros((FOLDS, d, d))
+        sums, any_ = np.zeros((FOLDS, d, d)), False
+        lane = TaskContext.get().partitionId() % LANES
         for b in batches:
             if b.num_rows:
+                any_ = True
                 z = np.concatenate([phi(_matrix(b)), b.column("y").to_numpy(zero_copy_only=False).astype(float)[:, None]], axis=1)
                 f = _fold(b.column("id").to_pylist())
                 for k in range(FOLDS):
                     part = z[f == k]
                     sums[k] += part.T @ part
-        for k in range(FOLDS):
+        for k in range(FOLDS if any_ else 0):
             for i in range(0, d, ROWS):
-                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([i]), pa.array([sums[k, i : i + ROWS].tobytes()])], names=["fold", "at", "part"])
+                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([i]), pa.array([lane]), pa.array([sums[k, i : i + ROWS].tobytes()])], names=["fold", "at", "lane", "part"])
 
-    def add(key, group):
-        total = sum(np.frombuffer(p.as_py()) for p in group["part"])
-        return pa.table({"fold": [key[0].as_py()], "at": [key[1].as_py()], "part": [total.tobytes()]})
+    def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = 0
+        for b in batches:
+            for p in b.column("part"):
+                total = total + np.frombuffer(p.as_py())
+        yield pa.RecordBatch.from_pydict({"fold": [key[0].as_py()], "at": [key[1].as_py()], "lane": [key[2].as_py()], "part": [total.tobytes()]})
 
-    schema = "fold long, at long, part binary"
+    schema = "fold long, at long, lane long, part binary"
     out = np.zeros((FOLDS, d, d))
-    for r in train.select("id", "x", "y").mapInArrow(local, schema).groupBy("fold", "at").applyInArrow(add, schema).collect():
+    lanes = train.select("id", "x", "y").mapInArrow(local, schema).groupBy("fold", "at", "lane").applyInArrow(add, schema)
+    for r in lanes.withColumn("lane", F.lit(0).cast("long")).groupBy("fold", "at", "lane").applyInArrow(add, schema).collect():
         out[r.fold, r.at : r.at + ROWS] = np.frombuffer(r.part).reshape(-1, d)
     return out, round(out[:, 0, 0].sum())
 
@@ -220,12 +230,15 @@ def classify(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str =
 
     A document is held out if crc32 of its id's text modulo 3 is 1; its labels are not read. Null labels and
     labels other than 0 and 1 are left out, several labels of a document count each. A null text counts as empty, which
-    has statistics and a score like any other; a null id is not held out and has no label.
+    has statistics and a score like any other, and a text of any length is read whole; a null id is not held out and has no label.
+    Repeated rows are scored each, an empty table gives an empty one.
     """
     slim = docs.select(F.col(id).alias("id"), (id_bucket(id, 3) == 1).alias("held_out"), utf8(text).alias("body"))
-    rows = written(features(slim), f"{shared_dir(docs.sparkSession)}/features")
+    base = shared_dir(docs.sparkSession)
+    rows = written(features(slim), f"{base}/features")
     known = labels.select(F.col(id).alias("id"), F.col(label).cast("int").alias("y")).where("y in (0, 1)").where(id_bucket("id", 3) != 1)
-    train = rows.where("not held_out").join(known, "id").select("id", "x", "y")
+    # read by the means, the normal equations and the calibration
+    train = written(rows.where("not held_out").join(known, "id").select("id", "x", "y"), f"{base}/train")
     return score(rows, fit(train)).withColumnRenamed("id", "doc_id")
 
 
