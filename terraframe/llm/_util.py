@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -67,6 +69,13 @@ def removed(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def tidy() -> None:
+    """Gives freed memory back to the system: workers outlive their tasks, and what one stage held would add to the next one's."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -89,6 +98,7 @@ def by_row(df: DataFrame, row: Callable, ins: list[str], outs: str) -> DataFrame
                 got = [call(*v) for v in zip(*(b.column(c).to_pylist() for c in ins), strict=True)]
                 cols = list(zip(*got, strict=True)) or [()] * len(added)
                 yield pa.RecordBatch.from_arrays([b.column(c) for c in kept] + [pa.array(v, f.type) for v, f in zip(cols, added, strict=True)], names=kept + added.names)
+        tidy()
 
     return df.mapInArrow(run, spec)
 

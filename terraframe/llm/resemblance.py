@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from terraframe.operators.components import connected_components
 
-from ._util import by_key, keyed, null_id, removed, shared_dir, written
+from ._util import by_key, keyed, null_id, removed, shared_dir, tidy, written
 from .simhash import ball_links, majority, shingles
 
 SHINGLE = 5
@@ -128,6 +128,7 @@ def _nodes(docs: DataFrame, n: int) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(np.concatenate(keys).view(np.int64)))
             longs = [pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(np.concatenate(fps).view(np.int64))]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + [*longs, lists], [*names, "node", "fp", "bands"])
+        tidy()
 
     return docs.mapInArrow(run, ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names) + ", node long, fp long, bands array<long>")
 
@@ -152,6 +153,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: tuple[int, int]) -> Data
                 a, b = np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64)
                 keep.append(bool(alike(len(np.intersect1d(a, b, assume_unique=True)), len(a), len(b), least)))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        tidy()
 
     one, two = (sets.select(F.col("node").alias(k), F.col("items").alias(f"items_{k}")) for k in "ab")
     length = F.octet_length

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._util import long_id, nested, pa_schema, shared_dir, shuffle_partitions, table, unnested, utf8, written
+from ._util import long_id, nested, pa_schema, shared_dir, shuffle_partitions, table, tidy, unnested, utf8, written
 
 WIDTH = 20
 #: Words whose joint hash is a candidate minimiser: enough that single frequent words don't attract windows.
@@ -60,7 +60,8 @@ def words(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     gap = np.ones(len(buf) + 2, bool)
     gap[1:-1] = _SPACE[buf]
     turn = np.flatnonzero(gap[1:] != gap[:-1])
-    return turn[::2], turn[1::2]
+    small = np.int32 if len(buf) < 1 << 31 else np.int64
+    return turn[::2].astype(small), turn[1::2].astype(small)
 
 
 @lru_cache(4)
@@ -84,7 +85,7 @@ def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     while i < len(starts):
         # whole words only; a word longer than a slice has one of its own
         j = max(i + 1, int(np.searchsorted(ends, starts[i] + SLICE_BYTES)))
-        lo, hi = starts[i], ends[j - 1]
+        lo, hi = int(starts[i]), int(ends[j - 1])
         run = np.zeros(hi - lo + 1, np.uint64)
         np.cumsum((buf[lo:hi] + np.uint64(1)) * _powers(hi - lo, _P)[:-1], dtype=np.uint64, out=run[1:])
         s, e = starts[i:j] - lo, ends[i:j] - lo
@@ -123,12 +124,21 @@ class Windows:
         self.width, self.buf = width, np.frombuffer(buf, np.uint8)
         self.starts, self.ends = words(self.buf)
         self.h = word_hashes(self.buf, self.starts, self.ends)
-        owner = np.repeat(np.arange(len(n_words)), n_words)
-        first = np.cumsum(n_words) - n_words
-        self.doc, self.row, self.at = doc[owner], row[owner], base[owner] + np.arange(len(owner)) - first[owner]
+        self.owner = owner = np.repeat(np.arange(len(n_words), dtype=np.int32), n_words)
+        self._doc, self._row, self._base = doc, row, base - (np.cumsum(n_words) - n_words)
         self.roll = rolling(self.h, width)
         self.whole = owner[: len(self.roll)] == owner[width - 1 :] if len(self.roll) else np.zeros(0, bool)
-        self.owner = owner
+
+    def doc(self, i: np.ndarray) -> np.ndarray:
+        """The documents of words i."""
+        return self._doc[self.owner[i]]
+
+    def row(self, i: np.ndarray) -> np.ndarray:
+        return self._row[self.owner[i]]
+
+    def at(self, i: np.ndarray) -> np.ndarray:
+        """The places of words i in their documents."""
+        return self._base[self.owner[i]] + i
 
     def repeats(self) -> np.ndarray:
         """True for windows whose word sequence also starts earlier, here."""
@@ -140,13 +150,13 @@ class Windows:
         todo = todo[np.concatenate([same, [False]]) | np.concatenate([[False], same])] if len(todo) else todo
         while len(todo):
             # the earliest of each hash leads; equals of the leader are settled, windows that only share its hash go round again
-            todo = todo[np.lexsort((self.at[todo], self.row[todo], self.doc[todo], self.roll[todo]))]
+            todo = todo[np.lexsort((self.at(todo), self.row(todo), self.doc(todo), self.roll[todo]))]
             r = self.roll[todo]
             head = np.concatenate([[True], r[1:] != r[:-1]])
             lead = todo[np.flatnonzero(head)[np.cumsum(head) - 1]]
             equal = self.equal(todo, lead)
             # the same window of one document, read twice, is not earlier than itself
-            apart = (self.doc[todo] != self.doc[lead]) | (self.row[todo] != self.row[lead]) | (self.at[todo] != self.at[lead])
+            apart = (self.doc(todo) != self.doc(lead)) | (self.row(todo) != self.row(lead)) | (self.at(todo) != self.at(lead))
             out[todo[equal & apart]] = True
             todo = todo[~equal]
         return out
@@ -186,7 +196,7 @@ def pack(w: Windows, travel: np.ndarray, buckets: int, minimiser: int):
     cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
     view, zip_ = memoryview(w.buf), zstandard.ZstdCompressor(level=3)
     for i, j in zip(cuts, cuts[1:], strict=False):
-        head = np.stack([w.doc[start[i:j]], w.row[start[i:j]], w.at[start[i:j]], count[i:j]]).astype(np.int64).tobytes()
+        head = np.stack([w.doc(start[i:j]), w.row(start[i:j]), w.at(start[i:j]), count[i:j]]).astype(np.int64).tobytes()
         body = b"\n".join([view[a:b] for a, b in zip(lo[i:j].tolist(), hi[i:j].tolist(), strict=True)])
         yield int(bucket[i]), int(j - i), zip_.compress(head + body)
 
@@ -203,7 +213,7 @@ def unpack(rows) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 def _by_document(w: Windows, lo: np.ndarray, hi: np.ndarray):
     """(document, row, packed spans) for runs lo..hi of windows."""
-    doc, row, lo, hi = w.doc[lo], w.row[lo], w.at[lo], w.at[hi - 1] + 1
+    doc, row, lo, hi = w.doc(lo), w.row(lo), w.at(lo), w.at(hi - 1) + 1
     order = np.lexsort((lo, row, doc))
     doc, row, lo, hi = doc[order], row[order], lo[order], hi[order]
     cuts = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (row[1:] != row[:-1]), [True]])) if len(doc) else []
@@ -237,6 +247,8 @@ def removed_spans(docs: DataFrame, width: int = WIDTH, minimiser: int = MINIMISE
             got = list(rows(*some))
             cols = list(zip(*got, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, pa_schema_, strict=True)], names=pa_schema_.names)
+            del got, cols
+            tidy()
 
     pa_schema_ = pa_schema(spark, schema)
 
