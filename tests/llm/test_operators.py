@@ -346,32 +346,72 @@ def test_isotonic():
 # vectors
 
 
-def test_vafile(spark):
-    r = np.random.default_rng(5)
-    vs = r.normal(size=(260, 6)).tolist()
-    vs[60], vs[61] = vs[50], vs[50]
-    rows = [(i, v, 0) for i, v in enumerate(vs)] + [(500, None, 1), (550, [1.0, None, 1.0, 1.0, 1.0, 1.0], 1), (600, [float("nan")] * 6, 1), (650, [1e30] * 6, 1), (50, vs[50], 0), (700, [1.0, 2.0], 1), (701, [3.0, -2.0], 1), (None, [0.5] * 6, 2)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
-    ints = vafile.integers(df)
-    got = vafile.search(ints.where("id % 50 = 0 and id < 10000000"), ints).collect()
-    clamp = lambda x: max(-(1 << 55), min(1 << 55, int(np.floor(256 * x))))
-    ok = [(i, [clamp(x) for x in v]) for i, v, _ in rows if v is not None and all(x is not None and np.isfinite(x) for x in v)]
+def brute_search(rows, queries, k=5):
+    """rows: (id, vector); every query row against every other row, in plain integers."""
+    from fractions import Fraction
+
+    ok = [(i, [int(Fraction(x) * 256 // 1) for x in v]) for i, v in rows if v is not None and all(x is not None and np.isfinite(x) for x in v)]
     big = lambda s: max(-(2**63), min(2**63 - 1, s))
     want = []
     for n, (q, a) in enumerate(ok):
-        if q is not None and q % 50 == 0:
+        if queries(q):
             scored = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), -(2**63) if c is None else c, c) for m, (c, b) in enumerate(ok) if m != n and len(a) == len(b))
-            want += [(q, k + 1, c, big(-s)) for k, (s, _, c) in enumerate(scored[:5])]
-    assert sorted(map(str, ((x.query_id, x.rank, x.vec_id, x.score) for x in got))) == sorted(map(str, want))
+            want += [(q, j + 1, c, big(-s)) for j, (s, _, c) in enumerate(scored[:k])]
+    return sorted(map(str, want))
+
+
+def found(got):
+    return sorted(map(str, ((x.query_id, x.rank, x.vec_id, x.score) for x in got.collect())))
+
+
+@pytest.mark.parametrize("block", [7, 2048])
+def test_vafile(spark, monkeypatch, block):
+    monkeypatch.setattr(vafile, "BLOCK", block)
+    monkeypatch.setattr(vafile, "QUERIES_BLOCK", block)
+    r = np.random.default_rng(5)
+    vs = r.normal(size=(260, 6)).tolist()
+    vs[60], vs[61] = vs[50], vs[50]
+    for i in range(130, 160):
+        vs[i] = vs[100]
+    rows = [(i, v, 0) for i, v in enumerate(vs)] + [(500, None, 1), (550, [1.0, None, 1.0, 1.0, 1.0, 1.0], 1), (600, [float("nan")] * 6, 1), (650, [1e30] * 6, 1), (50, vs[50], 0), (700, [1.0, 2.0], 1), (701, [3.0, -2.0], 1), (None, [0.5] * 6, 2), (750, [], 3), (751, [], 3), (752, [1.7e308] * 6, 4), (753, [-1e300] * 6, 4)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, x int")
+    ints = vafile.integers(df)
+    asked = lambda q: q is not None and q % 50 == 0
+    got = vafile.search(ints.where("id % 50 = 0 and id < 10000000"), ints)
+    assert found(got) == brute_search([x[:2] for x in rows], asked)
     assert vafile.search(ints.where("false"), ints).count() == 0 and vafile.search(ints.where("id = 0"), ints.where("false")).count() == 0
 
 
+def test_vafile_large_components(spark):
+    """Components and scores beyond 64 bits rank exactly."""
+    rows = [(0, [1.0, 0.0]), (1, [1e16, 0.0]), (2, [2e16, 0.0]), (3, [2e16, 1.0]), (4, [-3e200, 5e199]), (50, [1 / 256, 0.0])]
+    ints = vafile.integers(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = vafile.search(ints.where("id % 50 = 0"), ints)
+    assert found(got) == brute_search(rows, lambda q: q % 50 == 0)
+    by = {(x.query_id, x.vec_id): x for x in got.collect()}
+    assert by[0, 2].rank == 1 and by[0, 3].rank == 2 and by[0, 1].rank == 3 and by[50, 1].score == 2560000000000000000
+
+
+def test_vafile_reads_few_exact_vectors(spark):
+    r = np.random.default_rng(9)
+    rows = [(i, v.tolist()) for i, v in enumerate(r.normal(size=(3000, 16)))]
+    ints = vafile.integers(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got, read = vafile.searched(ints.where("id % 50 = 0"), ints)
+    assert got.count() == 300 and read.count() < 0.01 * 60 * 3000
+
+
+def test_sortable():
+    some = [0, 1, -1, 255, 256, -255, -256, 10**40, -(10**40), 2**64, -(2**64)]
+    assert sorted(some, key=vafile.sortable) == sorted(some)
+
+
 def test_bounds_hold():
     r = np.random.default_rng(2)
-    v, q = r.integers(-300, 300, (500, 12)), r.integers(-300, 300, (9, 12))
-    low, up = vafile.Approximation(v).bounds(q)
-    exact = q @ v.T
-    assert (low <= exact).all() and (exact <= up).all() and (up - low).mean() < 0.5 * (exact.max() - exact.min())
+    v, q = r.normal(size=(500, 12)), r.normal(size=(9, 12))
+    a = vafile.Approximation(v)
+    for x in (a, vafile.Approximation.unpack(a.pack(), 500, 12)):
+        low, up = x.bounds(q)
+        assert (low <= q @ v.T).all() and (q @ v.T <= up).all() and (up - low).mean() < 0.1 * np.abs(q @ v.T).mean()
 
 
 # mixing
