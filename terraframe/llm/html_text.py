@@ -1,23 +1,25 @@
-"""Main text of web pages: page structure, and a suffix array for each host.
-
-A page is cut into blocks, each in a zone: article, main element, plain, or
-boilerplate by its element, role, class or id. Pages of a host, in shards of
-bounded size, form one token stream; its suffix array, sorted to the depth of a
-long substring, shows which token runs repeat across distinct pages. Where a page
-names no article, the runs so covered are removed from its plain blocks and
-unique runs stay. An article that a page marks as such is kept whole: that
-another page prints the same passage doesn't make it boilerplate.
-
-Plan: blocks are cut in an Arrow map over the scan and travel compressed; hosts
-are sized, and copies of a page found, by aggregates over slim columns; each shard
-is one task's group. Of a host with several shards and plain pages, the shards'
-runs are counted first, summed over the host, and joined back to the shards.
+"""Main text of web pages: marks of the page's structure, and a host suffix array for what they leave open.
+
+A page is cut into blocks, each in a zone: article, main element, hinted, plain, or
+outside. Elements and roles that HTML gives a meaning decide; so do names that say nothing but what
+they name, like ``main-menu``. Names that merely hold such a word, like ``related-work``, are hints.
+
+Pages of a host, in shards of bounded size, form one token stream; its suffix array, sorted to the
+depth of a long substring, shows which token runs repeat across distinct pages of the host. (Whatever a longer
+match covers, its runs of that depth cover.) A page that marks an article keeps it, without runs that the host
+repeats outside of articles. What is open loses every repeated run, and its unique runs stay: hinted
+blocks of an article, what a main element holds beside its article, and all plain blocks of a page that marks nothing.
+
+Plan: what evidence the hosts have is counted over slim rows; pages are then dealt by host and shard, and each
+shard is one task's group. Where runs matter on a host of several shards, they are counted by shard, summed
+over the host, and joined back to the shards that hold them.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._util import shuffle_partitions, table, written
+from ._util import shared_dir, shuffle_partitions, table, tidy, written
 
 #: Tokens of a long substring.
 LONG = 8
@@ -34,10 +36,13 @@ LONG = 8
 PAGES = 3
 #: HTML bytes of a shard of a host.
 SHARD_BYTES = 1 << 21
-#: Hosts of more than one shard whose sizes are broadcast; beyond so many they are joined by a shuffle.
+#: Hosts of more than one shard that are broadcast; beyond so many they are joined by a shuffle.
 BROADCAST_HOSTS = 1 << 16
 
-ARTICLE, MAIN, PLAIN, BOILER = "AMPB"
+#: Zones of blocks. HINTED: in an article or main element, under a name that may mean boilerplate.
+ARTICLE, MAIN, HINTED, PLAIN, OUTSIDE = "AMHPO"
+#: What becomes of a word: it goes; it stays unless the host repeats it outside of articles; it stays unless the host repeats it.
+GONE, OWN, OPEN = 0, 1, 2
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -51,42 +56,59 @@ _ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*("[^"]*"|'[^']*'|[^
 _HEADINGS = {f"h{i}" for i in range(1, 7)}
 _BLOCK = _HEADINGS | set("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 _VOID = {"hr"}
+#: Elements and roles that are never an article's text.
 _DROPPED = set("nav aside form dialog menu head".split())
-#: Name parts that mark a boilerplate element, wherever it stands.
-_ALWAYS = set("comment comments commentlist reply replies disqus respond discussion ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar widget widgets cookie cookies consent gdpr notice popup modal overlay newsletter subscribe subscription signup login search share sharing social related recommended trending pagination pager toolbar skip complementary contentinfo alert alertdialog dialog form".split())
-#: Those that do so outside an article only: inside, its own headline may stand in one.
-_OUTSIDE = set("header masthead topbar footer colophon copyright legal".split())
+_ROLES = set("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar".split())
+#: Parts of names that mean boilerplate wherever they stand; outside of an article; at an article's end.
+_ALWAYS = set("comment comments commentlist reply replies disqus respond discussion ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar widget widgets cookie cookies consent gdpr notice popup modal overlay newsletter subscribe subscription signup login search share sharing social related recommended trending pagination pager toolbar".split())
+_HEAD = set("header masthead topbar footer colophon copyright legal".split())
 _FOOT = {"footer", "colophon", "copyright"}
-
-
-def _names(attrs: str) -> set[str]:
-    return {x for _, v in _ATTRIBUTE.findall(attrs) for x in re.split(r"[^a-z0-9]+", v.lower()) if x}
+#: Parts that add no meaning of their own: a name of such parts and of the ones above is no hint but says it.
+_NEUTRAL = set("main site page top bottom left right primary secondary global list box wrapper container area block item inner outer links bar slot unit".split())
+#: Whole names of divisions that are the article, or the main element.
+_ARTICLES, _MAINS = {"articlebody"}, {"main", "maincontent"}
+
+
+@lru_cache(4096)
+def _names(attrs: str) -> tuple[frozenset[str], frozenset[str], frozenset[str], str | None]:
+    """(parts of names that say what they name, parts of those that only hint, whole names, role)."""
+    said, hints, whole, role = set(), set(), set(), None
+    for kind, value in _ATTRIBUTE.findall(attrs):
+        for name in value.strip("\"'").lower().split():
+            parts = [x for x in re.split(r"[^a-z0-9]+", name) if x]
+            if kind.lower() == "role":
+                role = role or name
+                continue
+            known = {x for x in parts if x in _ALWAYS or x in _HEAD}
+            (said if all(x in known or x in _NEUTRAL or x.isdigit() for x in parts) else hints).update(known)
+            whole.add("".join(parts))
+    return frozenset(said), frozenset(hints), frozenset(whole), role
 
 
 def _zone(tag: str, attrs: str, above: str, inside: bool) -> str:
-    """The zone of an element under one of zone ``above``; ``inside``: an article is open around it."""
-    names = _names(attrs) if "=" in attrs else set()
+    """The zone of an element under one of zone ``above``; ``inside``: an article or main element is open around it."""
     if tag in ("html", "body"):
         return above
-    if tag in ("article", "main") or names & {"articlebody", "main"} and tag in ("div", "section"):
-        if inside and above == BOILER or tag == "article" and names & {"comment", "reply"}:
-            return BOILER
-        return MAIN if tag == "main" or "main" in names else ARTICLE
-    if above == BOILER or tag in _DROPPED or names & _ALWAYS:
-        return BOILER
-    if tag == "footer" or (names & _FOOT and inside):
-        return BOILER
-    if not inside and (tag == "header" or names & _OUTSIDE):
-        return BOILER
-    return above
+    said, hints, whole, role = _names(attrs) if "=" in attrs else _names("")
+    division = tag in ("div", "section")
+    if tag == "article" or role == "article" or division and whole & _ARTICLES:
+        return OUTSIDE if inside and above == OUTSIDE or said & _ALWAYS else ARTICLE
+    if tag == "main" or role == "main" or division and whole & _MAINS:
+        return OUTSIDE if inside and above == OUTSIDE else above if above == ARTICLE else MAIN
+    if above == OUTSIDE or tag in _DROPPED or tag == "footer" or role in _ROLES or said & _ALWAYS or said & _FOOT:
+        return OUTSIDE
+    if not inside and (tag == "header" or said & _HEAD):
+        return OUTSIDE
+    return HINTED if hints & _ALWAYS and above in (ARTICLE, MAIN) else above
 
 
 def blocks(page: str) -> list[tuple[str, str]]:
     """(zone, text) of every block that has text, in page order; character references decoded, white space runs one space."""
     out: list[tuple[str, str]] = []
     stack: list[tuple[str, str]] = []
+    opened: dict[str, int] = {}
     held: list[str] = []
-    zone, at = PLAIN, 0
+    zone, at, inside = PLAIN, 0, 0
 
     def flush():
         if held:
@@ -95,6 +117,12 @@ def blocks(page: str) -> list[tuple[str, str]]:
                 out.append((zone, text))
             held.clear()
 
+    def close():
+        nonlocal inside
+        tag, z = stack.pop()
+        opened[tag] -= 1
+        inside -= z in (ARTICLE, MAIN)
+
     for m in _TOKEN.finditer(page):
         if m.start() > at:
             held.append(page[at : m.start()])
@@ -109,37 +137,46 @@ def blocks(page: str) -> list[tuple[str, str]]:
             continue
         flush()
         if m["end"] or m["end2"]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
+            if opened.get(tag):
+                while stack[-1][0] != tag:
+                    close()
+                close()
         elif tag not in _VOID:
             # a paragraph or item ends where the next block begins
             while stack and (stack[-1][0] == "p" or stack[-1][0] in _HEADINGS and tag in _HEADINGS | {"p"} or stack[-1][0] == tag == "li"):
-                stack.pop()
-            above = stack[-1][1] if stack else PLAIN
-            inside = any(z in (ARTICLE, MAIN) for _, z in stack)
-            stack.append((tag, _zone(tag, m["attrs"] or m["attrs2"] or "", above, inside)))
+                close()
+            z = _zone(tag, m["attrs"] or m["attrs2"] or "", stack[-1][1] if stack else PLAIN, inside > 0)
+            stack.append((tag, z))
+            opened[tag] = opened.get(tag, 0) + 1
+            inside += z in (ARTICLE, MAIN)
         zone = stack[-1][1] if stack else PLAIN
     held.append(page[at:])
     flush()
     return out
 
 
-def repeated(tokens: np.ndarray, page: np.ndarray, long: int = LONG, pages: int = PAGES, row: np.ndarray | None = None) -> np.ndarray:
-    """True for tokens covered by a run of ``long`` tokens that stands on ``pages`` or more distinct pages.
+def fates(zones: str) -> list[int]:
+    """What becomes of the words of a page's blocks, by their zones."""
+    if ARTICLE in zones:
+        of = {ARTICLE: OWN, MAIN: OPEN, HINTED: OPEN}
+    elif MAIN in zones or HINTED in zones:
+        of = {MAIN: OWN, HINTED: OPEN}
+    else:
+        of = {PLAIN: OPEN}
+    return [of.get(z, GONE) for z in zones]
+
+
+def suffixes(tokens: np.ndarray, row: np.ndarray, long: int = LONG) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ranks) of the runs of ``long`` tokens that stand more than once; equal runs have equal ranks.
 
-    ``page`` numbers each token's page, equal pages in one stretch or not; a negative
-    page is no evidence. ``row`` numbers the stretches where pages don't. Suffixes are ranked by their first
+    ``row`` numbers the stretches, which no run passes. Suffixes are ranked by their first
     2, 4, ... tokens until the depth is reached: neighbours of equal rank in the array share that many.
     """
-    n = len(tokens)
-    cover = np.zeros(n + 1, np.int64)
+    n, none = len(tokens), np.zeros(0, np.int64)
     if n < long:
-        return cover[:n] > 0
+        return none, none
     rank, depth = tokens.astype(np.int64), 1
-    # the last token that a suffix may use; runs don't pass a stretch's end
-    row = page if row is None else row
+    # the last token that a suffix may use
     ends = np.append(np.flatnonzero(row[1:] != row[:-1]), n - 1)
     end = ends[np.searchsorted(ends, np.arange(n))]
     live = np.arange(n)
@@ -158,27 +195,37 @@ def repeated(tokens: np.ndarray, page: np.ndarray, long: int = LONG, pages: int
         keep = np.zeros(n, bool)
         keep[live[order[many]]] = True
         rank, depth = nxt, depth + step
+        live = np.flatnonzero(keep)
         if depth < long:
             # both halves of a deeper rank must repeat
-            live = np.flatnonzero(keep)
             step = min(depth, long - depth)
             live = live[live + step < n]
             live = live[keep[live + step]]
-        else:
-            live = np.flatnonzero(keep)
-    if not len(live):
-        return cover[:n] > 0
-    seen, wide = live[page[live] >= 0], int(page.max()) + 1
-    if not len(seen):
-        return cover[:n] > 0
+    return live, rank[live]
+
+
+def on_pages(rank: np.ndarray, page: np.ndarray) -> np.ndarray:
+    """On how many distinct pages each rank stands; a negative page is no evidence."""
+    seen = page >= 0
+    wide = int(page.max(initial=0)) + 1
     both = np.unique(rank[seen] * wide + page[seen])
-    count = np.bincount(both // wide, minlength=int(rank[live].max()) + 1)
-    hit = live[count[rank[live]] >= pages]
-    np.add.at(cover, hit, 1)
-    np.add.at(cover, hit + long, -1)
+    return np.bincount(both // wide, minlength=int(rank.max(initial=-1)) + 1)
+
+
+def covered(n: int, starts: np.ndarray, long: int = LONG) -> np.ndarray:
+    """True for those of n tokens that runs of ``long`` from ``starts`` on cover."""
+    cover = np.zeros(n + 1, np.int64)
+    np.add.at(cover, starts, 1)
+    np.add.at(cover, starts + long, -1)
     return np.cumsum(cover[:n]) > 0
 
 
+def repeated(tokens: np.ndarray, page: np.ndarray, long: int = LONG, pages: int = PAGES, row: np.ndarray | None = None) -> np.ndarray:
+    """True for tokens covered by a run of ``long`` tokens that stands on ``pages`` or more distinct pages."""
+    start, rank = suffixes(tokens, page if row is None else row, long)
+    return covered(len(tokens), start[on_pages(rank, page[start])[rank] >= pages], long)
+
+
 def runs(words: pa.DictionaryArray, row: np.ndarray, long: int = LONG) -> tuple[np.ndarray, np.ndarray]:
     """(start, hash) of every run of ``long`` words within a row; the hash is the same in every task."""
     digest = np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "replace"), 42) for w in words.dictionary.to_pylist()], np.uint64)
@@ -193,59 +240,65 @@ def runs(words: pa.DictionaryArray, row: np.ndarray, long: int = LONG) -> tuple[
     return start, run[start].view(np.int64)
 
 
-def _wanted(page: list[tuple[str, str]]) -> str:
-    zones = {z for z, _ in page}
-    return ARTICLE if ARTICLE in zones else MAIN if MAIN in zones else PLAIN
+class Stream:
+    """The words of some pages: each block's start, and for each word its fate, its row, and its page's number, -1 for what is no evidence."""
 
+    def __init__(self, pages: list[list[tuple[str, str]]], ids: list, evidence: list[bool]):
+        words, number, self.at, page, row, fate = [], {}, [], [], [], []
+        self.fates = [fates("".join(z for z, _ in p)) for p in pages]
+        for i, (own, p, ok) in enumerate(zip(ids, pages, evidence, strict=True)):
+            k = number.setdefault(own, len(number)) if ok else -1
+            for (_, text), f in zip(p, self.fates[i], strict=True):
+                w = text.split(" ")
+                self.at.append(len(words))
+                words += w
+                page += [k] * len(w)
+                row += [i] * len(w)
+                fate += [f] * len(w)
+        self.words = pa.array(words, pa.string()).dictionary_encode()
+        self.row, self.page, self.fate = np.array(row, np.int64), np.array(page, np.int64), np.array(fate, np.int64)
 
-def _stream(pages: list[list[tuple[str, str]]], ids: list, evidence: list[bool]):
-    """Words of all blocks, each block's start, and for each word its row and its page's number, -1 for what is no evidence."""
-    words, number, at, page, row = [], {}, [], [], []
-    for i, (own, p, ok) in enumerate(zip(ids, pages, evidence, strict=True)):
-        k = number.setdefault(own, len(number)) if ok else -1
-        for _, text in p:
-            w = text.split(" ")
-            at.append(len(words))
-            words += w
-            page += [k] * len(w)
-            row += [i] * len(w)
-    return pa.array(words, pa.string()).dictionary_encode(), at, np.array(row, np.int64), np.array(page, np.int64)
+    def outside(self, start: np.ndarray, long: int) -> np.ndarray:
+        """Whether all words of the runs are GONE."""
+        kept = np.concatenate([[0], np.cumsum(self.fate != GONE)])
+        return kept[start + long] == kept[start]
 
 
-def choose(pages: list[list[tuple[str, str]]], ids: list, evidence: list[bool] | None = None, common: np.ndarray | None = None, long: int = LONG, least: int = PAGES) -> list[str]:
+def choose(pages: list[list[tuple[str, str]]], ids: list, evidence: list[bool] | None = None, common: tuple[np.ndarray, np.ndarray] | None = None, long: int = LONG, least: int = PAGES) -> list[str]:
     """The main text of each page of a host's shard.
 
     ``evidence`` tells rows that count from copies of a page, of which one does; by default the first. ``common``
-    are the hashes of runs that are boilerplate on the host, where the shard is not all of it.
+    are the hashes of runs that the host repeats at all and outside of articles, where the shard is not all of it.
     """
     if evidence is None:
         first: dict = {}
         evidence = [first.setdefault(tuple(p), own) == own for own, p in zip(ids, pages, strict=True)]
-    words, at, row, page = _stream(pages, ids, evidence)
-    covered = np.zeros(0, bool)
-    if len(words):
-        if common is None:
-            covered = repeated(words.indices.to_numpy(zero_copy_only=False).astype(np.int64), page, long, least, row)
-        else:
-            start, run = runs(words, row, long)
-            hit = start[np.isin(run, common)]
-            cover = np.zeros(len(words) + 1, np.int64)
-            cover[hit] += 1
-            cover[hit + long] -= 1
-            covered = np.cumsum(cover[:-1]) > 0
-    out, b = [], 0
-    for p in pages:
-        want, kept = _wanted(p), []
-        for zone, text in p:
-            if zone == want:
-                if want == PLAIN:
-                    w = text.split(" ")
-                    text = " ".join(x for x, c in zip(w, covered[at[b] : at[b] + len(w)].tolist(), strict=True) if not c)
+    s = Stream(pages, ids, evidence)
+    n, gone = len(s.words), s.fate == GONE
+    if n and common is None:
+        start, rank = suffixes(s.words.indices.to_numpy(zero_copy_only=False), s.row, long)
+        any_ = on_pages(rank, s.page[start])[rank] >= least
+        out = s.outside(start, long)
+        beyond = on_pages(rank, np.where(out, s.page[start], -1))[rank] >= least
+        gone = gone | (s.fate == OPEN) & covered(n, start[any_], long) | (s.fate == OWN) & covered(n, start[beyond], long)
+    elif n and len(common[0]):
+        start, run = runs(s.words, s.row, long)
+        hit = [covered(n, start[np.isin(run, c)], long) for c in common]
+        gone = gone | (s.fate == OPEN) & hit[0] | (s.fate == OWN) & hit[1]
+    texts, b = [], 0
+    for p, f in zip(pages, s.fates, strict=True):
+        kept = []
+        for (_, text), fate in zip(p, f, strict=True):
+            if fate != GONE:
+                w = text.split(" ")
+                lost = gone[s.at[b] : s.at[b] + len(w)]
+                if lost.any():
+                    text = " ".join(x for x, c in zip(w, lost.tolist(), strict=True) if not c)
                 if text:
                     kept.append(text)
             b += 1
-        out.append("\n".join(kept))
-    return out
+        texts.append("\n".join(kept))
+    return texts
 
 
 def extract(pages: DataFrame, id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -253,38 +306,59 @@ def extract(pages: DataFrame, id: str = "page_id", url: str = "url", html: str =
 
     A null html is empty, an empty page has the text "". A null or odd url is of the host "". Rows with equal ids
     are one page as evidence, and so are rows of a host with equal blocks; each row gets its text. A row without
-    an id is the page of its url.
+    an id is the page of its url. Pages of any length and depth are read whole. An empty table gives an empty one.
     """
+    spark, base = pages.sparkSession, shared_dir(pages.sparkSession)
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^\w+://([^/?#]*)", 1))
     page = F.when(F.col(id).isNull(), F.xxhash64(F.lit("url"), F.col(url))).otherwise(F.xxhash64(F.lit("id"), F.col(id)))
     slim = pages.select(F.col(id).alias("page_id"), F.col(url).alias("url"), host.alias("host"), page.alias("page"), F.coalesce(F.col(html), F.lit("")).alias("html"))
-    spark = pages.sparkSession
+    kind = slim.schema["page_id"].dataType.simpleString()
 
-    def cut(batches):
-        squeeze = zstandard.ZstdCompressor(level=1)
+    def packed(got):
+        return "\n".join(["".join(z for z, _ in got), *(t for _, t in got)]).encode("utf-8", "replace")
+
+    def signed(x):
+        return np.array(x, np.uint64).view(np.int64)
+
+    def survey(batches):
+        """Of each page a hash of its blocks, whether any is open, its size, and the hashes of its runs outside."""
         for b in batches:
-            out, content, plain, size = [], [], [], []
+            content, open_, size, out = [], [], [], []
             for h in b.column("html"):
                 h = h.as_py()
                 got = blocks(h)
-                raw = "\n".join(["".join(z for z, _ in got), *(t for _, t in got)]).encode("utf-8", "replace")
-                out.append(squeeze.compress(raw))
-                content.append(xxhash.xxh64_intdigest(raw))
-                plain.append(_wanted(got) == PLAIN)
+                content.append(xxhash.xxh64_intdigest(packed(got)))
                 size.append(len(h.encode("utf-8", "replace")))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("page_id", "url", "host", "page")), pa.array(out, pa.binary()), pa.array(np.array(content, np.uint64).view(np.int64)), pa.array(plain, pa.bool_()), pa.array(size, pa.int64())], names=["page_id", "url", "host", "page", "blocks", "content", "plain", "size"])
-
-    kind = slim.schema["page_id"].dataType.simpleString()
-    packed = written(slim.mapInArrow(cut, f"page_id {kind}, url string, host string, page long, blocks binary, content long, plain boolean, size long"))
-    hosts = packed.groupBy("host").agg(F.ceil(F.sum("size") / SHARD_BYTES).alias("shards"), F.max("plain").alias("wide"))
-    large = written(hosts.where("shards > 1"))
+                s = Stream([got], [0], [True])
+                open_.append(bool((s.fate == OPEN).any()))
+                start, run = runs(s.words, s.row)
+                out.append(np.unique(run[s.outside(start, LONG)]))
+            ends = pa.array(np.cumsum([0, *map(len, out)]), pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column("host"), b.column("page"), pa.array(signed(content)), pa.array(open_, pa.bool_()), pa.array(size, pa.int64()), pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int64), *out])))], names=["host", "page", "content", "open", "size", "outside"])
+        tidy()
+
+    seen = written(slim.select("host", "page", "html").mapInArrow(survey, "host string, page long, content long, open boolean, size long, outside array<long>"), f"{base}/survey")
+    large = seen.groupBy("host").agg(F.ceil(F.sum("size") / SHARD_BYTES).alias("shards"), F.max("open").alias("open")).where("shards > 1")
     # of the copies of a page, those of one id count
-    copies = written(packed.groupBy("host", "content").agg(F.min("page").alias("first"), F.max("page").alias("last")).where("first != last").select("host", "content", "first"))
-    few = large.count() <= BROADCAST_HOSTS
+    copies = written(seen.groupBy("host", "content").agg(F.min("page").alias("first"), F.max("page").alias("last")).where("first != last").select("host", "content", "first"), f"{base}/copies")
     some = F.broadcast(copies) if copies.count() <= BROADCAST_HOSTS else copies
+    counts = seen.join(large.select("host"), "host", "left_semi").join(some, ["host", "content"], "left").where(F.coalesce("first", "page") == F.col("page"))
+    again = counts.select("host", "page", F.explode("outside").alias("run")).groupBy("host", "run").agg(F.count_distinct("page").alias("n")).where(F.col("n") >= PAGES)
+    # runs matter where a page is open, or where what stands outside repeats and may stand in an article
+    busy = again.select("host").distinct().withColumn("busy", F.lit(True))
+    large = written(large.join(busy, "host", "left").select("host", "shards", (F.col("open") | F.col("busy").isNotNull()).alias("deep")), f"{base}/large")
+    few = large.count() <= BROADCAST_HOSTS
+
+    def cut(batches):
+        squeeze = zstandard.ZstdCompressor(level=3)
+        for b in batches:
+            raw = [packed(blocks(h.as_py())) for h in b.column("html")]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("page_id", "url", "host", "page")), pa.array([squeeze.compress(x) for x in raw], pa.binary()), pa.array(signed([xxhash.xxh64_intdigest(x) for x in raw]))], names=["page_id", "url", "host", "page", "blocks", "content"])
+        tidy()
+
+    told = slim.mapInArrow(cut, f"page_id {kind}, url string, host string, page long, blocks binary, content long").join(some, ["host", "content"], "left").join(F.broadcast(large) if few else large, "host", "left")
     shard = F.pmod(F.xxhash64("page"), F.coalesce("shards", F.lit(1))).alias("shard")
-    told = packed.join(some, ["host", "content"], "left").join(F.broadcast(large) if few else large, "host", "left")
-    dealt = told.select("page_id", "url", "host", "page", "blocks", (F.coalesce("first", "page") == F.col("page")).alias("evidence"), F.coalesce("wide", F.lit(False)).alias("wide"), shard)
+    dealt = told.select("page_id", "url", "host", "page", "blocks", (F.coalesce("first", "page") == F.col("page")).alias("evidence"), F.col("shards").isNotNull().alias("part"), F.coalesce("deep", F.lit(False)).alias("deep"), shard)
     if not few:
         # the join's partitions by host would do for groups by host and shard, but not for a hot host
         dealt = dealt.repartition(shuffle_partitions(spark), "host", "shard")
@@ -298,32 +372,39 @@ def extract(pages: DataFrame, id: str = "page_id", url: str = "url", html: str =
 
     def settle(group, common=None):
         text = choose(opened(group), group["page"].to_pylist(), group["evidence"].to_pylist(), common)
-        return pa.table({"page_id": group["page_id"], "url": group["url"], "text": pa.array(text, pa.string()), "n_chars": pa.array([len(t) for t in text], pa.int64())})
+        out = pa.table({"page_id": group["page_id"], "url": group["url"], "text": pa.array(text, pa.string()), "n_chars": pa.array([len(t) for t in text], pa.int64())})
+        tidy()
+        return out
+
+    def alone(group):
+        none = np.zeros(0, np.int64)
+        return settle(group, (none, none) if group["part"][0].as_py() else None)
 
     def count(group):
-        """Runs of a shard: on how many of its pages each stands, and whether a page here may lose it."""
-        got = opened(group)
-        words, _, row, page = _stream(got, group["page"].to_pylist(), group["evidence"].to_pylist())
-        start, run = runs(words, row)
+        """Runs of a shard: on how many of its pages each stands, on how many outside, and whether a page here may lose it."""
+        s = Stream(opened(group), group["page"].to_pylist(), group["evidence"].to_pylist())
+        start, run = runs(s.words, s.row)
         each, number = np.unique(run, return_inverse=True)
-        n, own = np.zeros(len(each), np.int64), np.zeros(len(each), bool)
-        if len(start):
-            seen, wide = page[start] >= 0, int(page.max()) + 1
-            n = np.bincount(np.unique(number[seen] * wide + page[start][seen]) // max(1, wide), minlength=len(each))
-            own[number[np.array([_wanted(p) == PLAIN for p in got])[row[start]]]] = True
-        return pa.table({"host": pa.array(group["host"][:1].to_pylist() * len(each), pa.string()), "shard": pa.array(group["shard"][:1].to_pylist() * len(each), pa.int64()), "run": each, "n": pa.array(n, pa.int64()), "own": own})
+        out = s.outside(start, LONG)
+        n, m, own = on_pages(number, s.page[start]), on_pages(number, np.where(out, s.page[start], -1)), np.zeros(len(each), bool)
+        own[number[~out]] = True
+        same = [pa.array(group[c][:1].to_pylist() * len(each), t) for c, t in (("host", pa.string()), ("shard", pa.int64()))]
+        return pa.table([*same, pa.array(each, pa.int64()), pa.array(n, pa.int64()), pa.array(m, pa.int64()), pa.array(own)], names=["host", "shard", "run", "n", "m", "own"])
+
+    def merged(group, more):
+        run, out = more["run"].to_numpy(), more["out"].to_numpy(zero_copy_only=False).astype(bool)
+        return settle(group, (run, run[out]))
 
     spec = f"page_id {kind}, url string, text string, n_chars long"
-    if large.where("wide").isEmpty():
-        return dealt.groupBy("host", "shard").applyInArrow(lambda group: settle(group), spec)
-    # a host of several shards that has plain pages: what repeats is counted over all of them
-    over = dealt.where("wide")
-    found = written(over.groupBy("host", "shard").applyInArrow(count, "host string, shard long, run long, n long, own boolean"))
-    common = found.groupBy("host", "run").agg(F.sum("n").alias("n")).where(F.col("n") >= PAGES).select("host", "run")
+    rest = dealt.where("not deep").groupBy("host", "shard").applyInArrow(alone, spec)
+    if large.where("deep").isEmpty():
+        return rest
+    over = dealt.where("deep")
+    found = written(over.groupBy("host", "shard").applyInArrow(count, "host string, shard long, run long, n long, m long, own boolean"), f"{base}/runs")
+    common = found.groupBy("host", "run").agg(F.sum("n").alias("n"), F.sum("m").alias("m")).where(F.col("n") >= PAGES).select("host", "run", (F.col("m") >= PAGES).alias("out"))
     common = found.where("own").select("host", "shard", "run").join(common, ["host", "run"])
     both = over.groupBy("host", "shard").cogroup(common.groupBy("host", "shard"))
-    rest = dealt.where("not wide").groupBy("host", "shard").applyInArrow(lambda group: settle(group), spec)
-    return rest.unionByName(both.applyInArrow(lambda group, more: settle(group, more["run"].to_numpy()), spec))
+    return rest.unionByName(both.applyInArrow(merged, spec))
 
 
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -549,6 +550,101 @@ def test_html_repeats_over_shards(spark, monkeypatch):
     assert {r.page_id: r.text for r in got} == {i: own(i) for i in range(24)} | {100 + i: own(99) for i in range(6)}
 
 
+def page_text(html):
+    return html_text.choose([html_text.blocks(html)], [1])[0]
+
+
+def test_html_names():
+    """Names that say what they name decide, names that hold a word are hints, and main elements keep what stands beside their articles."""
+    assert page_text('<body><div class="main-menu"><a>Home</a></div><div id="content"><p>real</p></div></body>') == "real"
+    assert page_text('<div class="main-nav">Home</div><p>real</p>') == "real"
+    assert page_text('<div id="main"><div class="sidebar-left">side</div><p>real</p></div><p>other</p>') == "real"
+    assert page_text('<article><p>a</p><section class="related-work"><p>b</p></section><div class="search-methods">c</div></article>') == "a\nb\nc"
+    assert page_text("<main><p>lead</p><article>card</article></main>") == "lead\ncard"
+    assert page_text('<article>a<div class="related">x</div><div class="share-links top">y</div><div role="search">z</div></article>') == "a"
+    assert page_text('<div role="main">a<div role="complementary">b</div></div><div>c</div>') == "a"
+    assert page_text('<div itemprop="articleBody"><p>a</p></div><p>b</p>') == "a"
+
+
+def test_html_deep():
+    """Time grows with the page, not with its depth."""
+    began = time.time()
+    n = 60_000
+    assert page_text("<div>" * n + "<article>text</article>" + "</p></section>" * n) == "text"
+    assert page_text("<article>" + "<p>x" * n + "</article>").count("x") == n
+    assert time.time() - began < 10
+
+
+def test_html_without_marks(spark):
+    """Pages that mark nothing keep what is theirs; an article loses what the host prints elsewhere; hints need evidence."""
+    menu, note, tail = "Home News Sports Weather Culture Travel Food Contact Help", "We use small files to make this site work for you", "All rights reserved by the people who made this site"
+    own = lambda i: " ".join(f"w{i}x{k}" for k in range(40))
+    rows = [(i, f"http://plain.example/{i}", f"<body><div><div>{menu}</div></div><div><div>T{i}</div><div>{own(i)}</div></div><div>{tail}</div></body>") for i in range(5)]
+    rows += [(10 + i, f"http://marked.example/{i}", f"<body><nav>{note}</nav><article><p>{own(10 + i)}</p><p>{note if i == 0 else 'more'}</p><p>{tail}</p><div class='related-work'>{menu}</div></article></body>") for i in range(5)]
+    rows += [(20, "http://single.example/", f"<body><nav>{note}</nav><article><p>{note}</p><div class='related-work'>{menu}</div></article></body>")]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"T{i}\n{own(i)}" for i in range(5))
+    # the tail is the article's own text, though other articles hold it too; the hinted menu repeats, the note stands in menus
+    assert got[10] == f"{own(10)}\n{tail}" and all(got[10 + i] == f"{own(10 + i)}\nmore\n{tail}" for i in range(1, 5))
+    assert got[20] == f"{note}\n{menu}"
+
+
+def brute_html(rows):
+    """(page_id, text): every page of a host against every other, run by run."""
+    cut = [[(z, t.split(" ")) for z, t in html_text.blocks(h or "")] for _, _, h in rows]
+    host = [re.match(r"\w+://([^/?#]*)", u or "")[1].lower() if re.match(r"\w+://", u or "") else "" for _, u, _ in rows]
+    page = [r[0] if r[0] is not None else r[1] for r in rows]
+    fate, stream = [], []
+    for p in cut:
+        zones = {z for z, _ in p}
+        keep = {"A": "own", "M": "open", "H": "open"} if "A" in zones else {"M": "own", "H": "open"} if zones & {"M", "H"} else {"P": "open"}
+        fate.append([keep.get(z, "gone") for z, w in p for _ in w])
+        stream.append([x for _, w in p for x in w])
+    # of rows with equal blocks on a host one page counts, which one is no matter
+    counts = [min((page[j] for j in range(len(rows)) if host[j] == host[i] and cut[j] == cut[i]), key=str) for i in range(len(rows))]
+    out = []
+    for i, p in enumerate(cut):
+        gone = [f == "gone" for f in fate[i]]
+        for k in range(len(stream[i]) - 7):
+            run, any_, beyond = stream[i][k : k + 8], set(), set()
+            for j in range(len(rows)):
+                if host[j] == host[i]:
+                    for n in range(len(stream[j]) - 7):
+                        if stream[j][n : n + 8] == run:
+                            any_.add(counts[j])
+                            if all(f == "gone" for f in fate[j][n : n + 8]):
+                                beyond.add(counts[j])
+            for n in range(k, k + 8):
+                gone[n] |= fate[i][n] == "open" and len(any_) >= 3 or fate[i][n] == "own" and len(beyond) >= 3
+        at, texts = 0, []
+        for _, w in p:
+            if left := [x for n, x in enumerate(w) if not gone[at + n]]:
+                texts.append(" ".join(left))
+            at += len(w)
+        out.append((str(rows[i][0]), "\n".join(texts)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("shard", [1 << 21, 900])
+def test_html_by_brute_force(spark, monkeypatch, shard):
+    monkeypatch.setattr(html_text, "SHARD_BYTES", shard)
+    r = random.Random(13)
+    passages = [" ".join(r.choice(WORDS) for _ in range(r.randrange(8, 14))) for _ in range(5)]
+    some = lambda: r.choice(passages) if r.random() < 0.5 else " ".join(r.choice(WORDS) for _ in range(r.randrange(1, 16)))
+    shapes = [
+        "<nav>{}</nav><article><p>{}</p><p>{}</p></article><footer>{}</footer>",
+        "<div>{}</div><div><p>{}</p>{}</div><div>{}</div>",
+        "<aside>{}</aside><main><p>{}</p><article>{}</article></main><div class=ad>{}</div>",
+        "<header>{}</header><article><p>{}</p><div class='related-work'>{}</div></article><form>{}</form>",
+    ]
+    rows = [(i, f"http://h{i % 3 if i % 2 else 0}.example/{i}", f"<body>{r.choice(shapes).format(some(), some(), some(), some())}</body>") for i in range(36)]
+    rows += [(100 + i, "http://h0.example/x", rows[0][2]) for i in range(3)] + [(5, rows[5][1], rows[5][2]), (200, None, None), (None, "odd", rows[1][2]), (None, "http://h1.example/n", rows[3][2])]
+    got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted((str(x.page_id), x.text) for x in got) == brute_html(rows)
+    assert all(x.n_chars == len(x.text) for x in got)
+    assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
 def test_repeated_runs():
     r = np.random.default_rng(0)
     for _ in range(200):
