@@ -4,15 +4,16 @@ A page is cut into blocks, each in a zone: article, main element, hinted, plain,
 outside. Elements and roles that HTML gives a meaning decide; so do names that say nothing but what
 they name, like ``main-menu``. Names that merely hold such a word, like ``related-work``, are hints.
 
-Pages of a host, in shards of bounded size, form one token stream; its suffix array, sorted to the
-depth of a long substring, shows which token runs repeat across distinct pages of the host. (Whatever a longer
-match covers, its runs of that depth cover.) A page that marks an article keeps it, without runs that the host
-repeats outside of articles. What is open loses every repeated run, and its unique runs stay: hinted
-blocks of an article, what a main element holds beside its article, and all plain blocks of a page that marks nothing.
-
-Plan: what evidence the hosts have is counted over slim rows; pages are then dealt by host and shard, and each
-shard is one task's group. Where runs matter on a host of several shards, they are counted by shard, summed
-over the host, and joined back to the shards that hold them.
+A page that marks an article keeps it whole: other pages may print the same text, in articles and in menus. What is
+open is decided by the host's other pages: hinted blocks of an article, what a main element holds
+beside its article, and all plain blocks of a page that marks nothing. Pages of such a host, in shards of bounded
+size, form one token stream; its suffix array, sorted to the depth of a long substring, shows which token runs repeat
+across distinct pages. (Whatever a longer match covers, its runs of that depth cover.) Open blocks lose the runs that
+repeat, and their unique runs stay.
+
+Plan: a survey tells the hosts on which any page is open; pages of other hosts are settled in the scan. The rest is dealt
+by host and shard, and each shard is one task's group. On a host of several shards runs are counted by shard, summed over the
+host, and joined back to the shards that may lose them.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ BROADCAST_HOSTS = 1 << 16
 
 #: Zones of blocks. HINTED: in an article or main element, under a name that may mean boilerplate.
 ARTICLE, MAIN, HINTED, PLAIN, OUTSIDE = "AMHPO"
-#: What becomes of a word: it goes; it stays unless the host repeats it outside of articles; it stays unless the host repeats it.
+#: What becomes of a word: it goes; it stays; it stays unless the host repeats it.
 GONE, OWN, OPEN = 0, 1, 2
 
 _TOKEN = re.compile(
@@ -258,33 +259,25 @@ class Stream:
         self.words = pa.array(words, pa.string()).dictionary_encode()
         self.row, self.page, self.fate = np.array(row, np.int64), np.array(page, np.int64), np.array(fate, np.int64)
 
-    def outside(self, start: np.ndarray, long: int) -> np.ndarray:
-        """Whether all words of the runs are GONE."""
-        kept = np.concatenate([[0], np.cumsum(self.fate != GONE)])
-        return kept[start + long] == kept[start]
 
-
-def choose(pages: list[list[tuple[str, str]]], ids: list, evidence: list[bool] | None = None, common: tuple[np.ndarray, np.ndarray] | None = None, long: int = LONG, least: int = PAGES) -> list[str]:
+def choose(pages: list[list[tuple[str, str]]], ids: list, evidence: list[bool] | None = None, common: np.ndarray | None = None, long: int = LONG, least: int = PAGES) -> list[str]:
     """The main text of each page of a host's shard.
 
     ``evidence`` tells rows that count from copies of a page, of which one does; by default the first. ``common``
-    are the hashes of runs that the host repeats at all and outside of articles, where the shard is not all of it.
+    are the hashes of runs that repeat on the host, where the shard is not all of it.
     """
     if evidence is None:
         first: dict = {}
         evidence = [first.setdefault(tuple(p), own) == own for own, p in zip(ids, pages, strict=True)]
     s = Stream(pages, ids, evidence)
-    n, gone = len(s.words), s.fate == GONE
-    if n and common is None:
-        start, rank = suffixes(s.words.indices.to_numpy(zero_copy_only=False), s.row, long)
-        any_ = on_pages(rank, s.page[start])[rank] >= least
-        out = s.outside(start, long)
-        beyond = on_pages(rank, np.where(out, s.page[start], -1))[rank] >= least
-        gone = gone | (s.fate == OPEN) & covered(n, start[any_], long) | (s.fate == OWN) & covered(n, start[beyond], long)
-    elif n and len(common[0]):
-        start, run = runs(s.words, s.row, long)
-        hit = [covered(n, start[np.isin(run, c)], long) for c in common]
-        gone = gone | (s.fate == OPEN) & hit[0] | (s.fate == OWN) & hit[1]
+    gone = s.fate == GONE
+    if (s.fate == OPEN).any():
+        if common is None:
+            again = repeated(s.words.indices.to_numpy(zero_copy_only=False), s.page, long, least, s.row)
+        else:
+            start, run = runs(s.words, s.row, long)
+            again = covered(len(s.words), start[np.isin(run, common)], long)
+        gone |= (s.fate == OPEN) & again
     texts, b = [], 0
     for p, f in zip(pages, s.fates, strict=True):
         kept = []
@@ -313,55 +306,51 @@ def extract(pages: DataFrame, id: str = "page_id", url: str = "url", html: str =
     page = F.when(F.col(id).isNull(), F.xxhash64(F.lit("url"), F.col(url))).otherwise(F.xxhash64(F.lit("id"), F.col(id)))
     slim = pages.select(F.col(id).alias("page_id"), F.col(url).alias("url"), host.alias("host"), page.alias("page"), F.coalesce(F.col(html), F.lit("")).alias("html"))
     kind = slim.schema["page_id"].dataType.simpleString()
+    spec = f"page_id {kind}, url string, text string, n_chars long"
 
-    def packed(got):
-        return "\n".join(["".join(z for z, _ in got), *(t for _, t in got)]).encode("utf-8", "replace")
-
-    def signed(x):
-        return np.array(x, np.uint64).view(np.int64)
+    def told(ids, urls, text):
+        return [ids, urls, pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())]
 
     def survey(batches):
-        """Of each page a hash of its blocks, whether any is open, its size, and the hashes of its runs outside."""
         for b in batches:
-            content, open_, size, out = [], [], [], []
-            for h in b.column("html"):
-                h = h.as_py()
-                got = blocks(h)
-                content.append(xxhash.xxh64_intdigest(packed(got)))
-                size.append(len(h.encode("utf-8", "replace")))
-                s = Stream([got], [0], [True])
-                open_.append(bool((s.fate == OPEN).any()))
-                start, run = runs(s.words, s.row)
-                out.append(np.unique(run[s.outside(start, LONG)]))
-            ends = pa.array(np.cumsum([0, *map(len, out)]), pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column("host"), b.column("page"), pa.array(signed(content)), pa.array(open_, pa.bool_()), pa.array(size, pa.int64()), pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int64), *out])))], names=["host", "page", "content", "open", "size", "outside"])
+            open_ = [OPEN in fates("".join(z for z, _ in blocks(h.as_py()))) for h in b.column("html")]
+            yield pa.RecordBatch.from_arrays([b.column("host"), b.column("size"), pa.array(open_, pa.bool_())], names=["host", "size", "open"])
         tidy()
 
-    seen = written(slim.select("host", "page", "html").mapInArrow(survey, "host string, page long, content long, open boolean, size long, outside array<long>"), f"{base}/survey")
-    large = seen.groupBy("host").agg(F.ceil(F.sum("size") / SHARD_BYTES).alias("shards"), F.max("open").alias("open")).where("shards > 1")
-    # of the copies of a page, those of one id count
-    copies = written(seen.groupBy("host", "content").agg(F.min("page").alias("first"), F.max("page").alias("last")).where("first != last").select("host", "content", "first"), f"{base}/copies")
-    some = F.broadcast(copies) if copies.count() <= BROADCAST_HOSTS else copies
-    counts = seen.join(large.select("host"), "host", "left_semi").join(some, ["host", "content"], "left").where(F.coalesce("first", "page") == F.col("page"))
-    again = counts.select("host", "page", F.explode("outside").alias("run")).groupBy("host", "run").agg(F.count_distinct("page").alias("n")).where(F.col("n") >= PAGES)
-    # runs matter where a page is open, or where what stands outside repeats and may stand in an article
-    busy = again.select("host").distinct().withColumn("busy", F.lit(True))
-    large = written(large.join(busy, "host", "left").select("host", "shards", (F.col("open") | F.col("busy").isNotNull()).alias("deep")), f"{base}/large")
-    few = large.count() <= BROADCAST_HOSTS
+    sizes = slim.select("host", "html", F.octet_length("html").cast("long").alias("size")).mapInArrow(survey, "host string, size long, open boolean")
+    hosts = sizes.groupBy("host").agg(F.ceil(F.sum("size") / SHARD_BYTES).alias("shards"), F.max("open").alias("open"))
+    hosts = written(hosts.where("open").select("host", "shards"), f"{base}/hosts")
+
+    def settled(batches):
+        for b in batches:
+            text = [choose([blocks(h.as_py())], [0])[0] for h in b.column("html")]
+            yield pa.RecordBatch.from_arrays(told(b.column("page_id"), b.column("url"), text), names=["page_id", "url", "text", "n_chars"])
+        tidy()
+
+    if hosts.isEmpty():
+        return slim.select("page_id", "url", "html").mapInArrow(settled, spec)
+    few = hosts.count() <= BROADCAST_HOSTS
+    joined = slim.join(F.broadcast(hosts) if few else hosts, "host", "left")
+    rest = joined.where("shards is null").select("page_id", "url", "html").mapInArrow(settled, spec)
 
     def cut(batches):
         squeeze = zstandard.ZstdCompressor(level=3)
         for b in batches:
-            raw = [packed(blocks(h.as_py())) for h in b.column("html")]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("page_id", "url", "host", "page")), pa.array([squeeze.compress(x) for x in raw], pa.binary()), pa.array(signed([xxhash.xxh64_intdigest(x) for x in raw]))], names=["page_id", "url", "host", "page", "blocks", "content"])
+            got = [blocks(h.as_py()) for h in b.column("html")]
+            raw = ["\n".join(["".join(z for z, _ in p), *(t for _, t in p)]).encode("utf-8", "replace") for p in got]
+            content = np.array([xxhash.xxh64_intdigest(x) for x in raw], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("page_id", "url", "host", "page", "shards")), pa.array([squeeze.compress(x) for x in raw], pa.binary()), pa.array(content)], names=["page_id", "url", "host", "page", "shards", "blocks", "content"])
         tidy()
 
-    told = slim.mapInArrow(cut, f"page_id {kind}, url string, host string, page long, blocks binary, content long").join(some, ["host", "content"], "left").join(F.broadcast(large) if few else large, "host", "left")
-    shard = F.pmod(F.xxhash64("page"), F.coalesce("shards", F.lit(1))).alias("shard")
-    dealt = told.select("page_id", "url", "host", "page", "blocks", (F.coalesce("first", "page") == F.col("page")).alias("evidence"), F.col("shards").isNotNull().alias("part"), F.coalesce("deep", F.lit(False)).alias("deep"), shard)
-    if not few:
-        # the join's partitions by host would do for groups by host and shard, but not for a hot host
-        dealt = dealt.repartition(shuffle_partitions(spark), "host", "shard")
+    packed = joined.where("shards is not null").select("page_id", "url", "host", "page", "shards", "html")
+    packed = written(packed.mapInArrow(cut, f"page_id {kind}, url string, host string, page long, shards long, blocks binary, content long"), f"{base}/packed")
+    # of the copies of a page, those of one id count
+    copies = written(packed.groupBy("host", "content").agg(F.min("page").alias("first"), F.max("page").alias("last")).where("first != last").select("host", "content", "first"), f"{base}/copies")
+    some = F.broadcast(copies) if copies.count() <= BROADCAST_HOSTS else copies
+    shard = F.pmod(F.xxhash64("page"), F.col("shards")).alias("shard")
+    dealt = packed.join(some, ["host", "content"], "left").select("page_id", "url", "host", "page", "blocks", (F.coalesce("first", "page") == F.col("page")).alias("evidence"), "shards", shard)
+    # a join's partitions by host would do for groups by host and shard, but not for a hot host
+    dealt = dealt.repartition(shuffle_partitions(spark), "host", "shard")
 
     def opened(group):
         unzip, out = zstandard.ZstdDecompressor(), []
@@ -372,39 +361,30 @@ def extract(pages: DataFrame, id: str = "page_id", url: str = "url", html: str =
 
     def settle(group, common=None):
         text = choose(opened(group), group["page"].to_pylist(), group["evidence"].to_pylist(), common)
-        out = pa.table({"page_id": group["page_id"], "url": group["url"], "text": pa.array(text, pa.string()), "n_chars": pa.array([len(t) for t in text], pa.int64())})
+        out = pa.table(told(group["page_id"], group["url"], text), names=["page_id", "url", "text", "n_chars"])
         tidy()
         return out
 
-    def alone(group):
-        none = np.zeros(0, np.int64)
-        return settle(group, (none, none) if group["part"][0].as_py() else None)
-
     def count(group):
-        """Runs of a shard: on how many of its pages each stands, on how many outside, and whether a page here may lose it."""
+        """Runs of a shard: on how many of its pages each stands, and whether a page here may lose it."""
         s = Stream(opened(group), group["page"].to_pylist(), group["evidence"].to_pylist())
         start, run = runs(s.words, s.row)
         each, number = np.unique(run, return_inverse=True)
-        out = s.outside(start, LONG)
-        n, m, own = on_pages(number, s.page[start]), on_pages(number, np.where(out, s.page[start], -1)), np.zeros(len(each), bool)
-        own[number[~out]] = True
+        n, own = on_pages(number, s.page[start]), np.zeros(len(each), bool)
+        may = np.concatenate([[0], np.cumsum(s.fate == OPEN)])
+        own[number[may[start + LONG] > may[start]]] = True
         same = [pa.array(group[c][:1].to_pylist() * len(each), t) for c, t in (("host", pa.string()), ("shard", pa.int64()))]
-        return pa.table([*same, pa.array(each, pa.int64()), pa.array(n, pa.int64()), pa.array(m, pa.int64()), pa.array(own)], names=["host", "shard", "run", "n", "m", "own"])
-
-    def merged(group, more):
-        run, out = more["run"].to_numpy(), more["out"].to_numpy(zero_copy_only=False).astype(bool)
-        return settle(group, (run, run[out]))
-
-    spec = f"page_id {kind}, url string, text string, n_chars long"
-    rest = dealt.where("not deep").groupBy("host", "shard").applyInArrow(alone, spec)
-    if large.where("deep").isEmpty():
-        return rest
-    over = dealt.where("deep")
-    found = written(over.groupBy("host", "shard").applyInArrow(count, "host string, shard long, run long, n long, m long, own boolean"), f"{base}/runs")
-    common = found.groupBy("host", "run").agg(F.sum("n").alias("n"), F.sum("m").alias("m")).where(F.col("n") >= PAGES).select("host", "run", (F.col("m") >= PAGES).alias("out"))
+        return pa.table([*same, pa.array(each, pa.int64()), pa.array(n, pa.int64()), pa.array(own)], names=["host", "shard", "run", "n", "own"])
+
+    small = dealt.where("shards = 1").groupBy("host", "shard").applyInArrow(lambda group: settle(group), spec)
+    large = dealt.where("shards > 1")
+    if hosts.where("shards > 1").isEmpty():
+        return rest.unionByName(small)
+    found = written(large.groupBy("host", "shard").applyInArrow(count, "host string, shard long, run long, n long, own boolean"), f"{base}/runs")
+    common = found.groupBy("host", "run").agg(F.sum("n").alias("n")).where(F.col("n") >= PAGES).select("host", "run")
     common = found.where("own").select("host", "shard", "run").join(common, ["host", "run"])
-    both = over.groupBy("host", "shard").cogroup(common.groupBy("host", "shard"))
-    return rest.unionByName(both.applyInArrow(merged, spec))
+    both = large.groupBy("host", "shard").cogroup(common.groupBy("host", "shard"))
+    return rest.unionByName(small).unionByName(both.applyInArrow(lambda group, more: settle(group, more["run"].to_numpy()), spec))
 
 
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -576,7 +576,7 @@ def test_html_deep():
 
 
 def test_html_without_marks(spark):
-    """Pages that mark nothing keep what is theirs; an article loses what the host prints elsewhere; hints need evidence."""
+    """Pages that mark nothing keep what is theirs; a marked article stays whole; hints need evidence."""
     menu, note, tail = "Home News Sports Weather Culture Travel Food Contact Help", "We use small files to make this site work for you", "All rights reserved by the people who made this site"
     own = lambda i: " ".join(f"w{i}x{k}" for k in range(40))
     rows = [(i, f"http://plain.example/{i}", f"<body><div><div>{menu}</div></div><div><div>T{i}</div><div>{own(i)}</div></div><div>{tail}</div></body>") for i in range(5)]
@@ -584,8 +584,8 @@ def test_html_without_marks(spark):
     rows += [(20, "http://single.example/", f"<body><nav>{note}</nav><article><p>{note}</p><div class='related-work'>{menu}</div></article></body>")]
     got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert all(got[i] == f"T{i}\n{own(i)}" for i in range(5))
-    # the tail is the article's own text, though other articles hold it too; the hinted menu repeats, the note stands in menus
-    assert got[10] == f"{own(10)}\n{tail}" and all(got[10 + i] == f"{own(10 + i)}\nmore\n{tail}" for i in range(1, 5))
+    # tail and note are the articles' own text, though other articles and menus hold them too; the hinted menu repeats
+    assert got[10] == f"{own(10)}\n{note}\n{tail}" and all(got[10 + i] == f"{own(10 + i)}\nmore\n{tail}" for i in range(1, 5))
     assert got[20] == f"{note}\n{menu}"
 
 
@@ -606,16 +606,14 @@ def brute_html(rows):
     for i, p in enumerate(cut):
         gone = [f == "gone" for f in fate[i]]
         for k in range(len(stream[i]) - 7):
-            run, any_, beyond = stream[i][k : k + 8], set(), set()
+            run, any_ = stream[i][k : k + 8], set()
             for j in range(len(rows)):
                 if host[j] == host[i]:
                     for n in range(len(stream[j]) - 7):
                         if stream[j][n : n + 8] == run:
                             any_.add(counts[j])
-                            if all(f == "gone" for f in fate[j][n : n + 8]):
-                                beyond.add(counts[j])
             for n in range(k, k + 8):
-                gone[n] |= fate[i][n] == "open" and len(any_) >= 3 or fate[i][n] == "own" and len(beyond) >= 3
+                gone[n] |= fate[i][n] == "open" and len(any_) >= 3
         at, texts = 0, []
         for _, w in p:
             if left := [x for n, x in enumerate(w) if not gone[at + n]]:
