@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from decimal import ROUND_HALF_UP, Decimal
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -65,16 +66,36 @@ def rmse(x: Column, y: Column) -> Column:
 
 
 def exact_round(digits: int):
-    """Rounds the double's exact binary value, halves away from zero: 1.005 becomes 1.0 at two digits. An Arrow UDF, for exports that need it."""
-    unit = Decimal(1).scaleb(-digits)
+    """Rounds the double's exact binary value, halves away from zero: 1.005 becomes 1.0 at two digits. An Arrow UDF, for exports.
+
+    Values are rounded a batch at a time; only those whose scaled value is too near a half for doubles to tell go through decimals.
+    """
+    unit, scale = Decimal(1).scaleb(-digits), 10.0**digits
 
     @F.pandas_udf("double")
     def go(v: pd.Series) -> pd.Series:
-        return v.map(lambda x: float(Decimal(x).quantize(unit, ROUND_HALF_UP)) if pd.notna(x) and abs(x) < 1e20 else x)
+        x = v.to_numpy(dtype=float, na_value=np.nan)
+        size = np.abs(x) * scale
+        with np.errstate(invalid="ignore"):
+            fine = size < 2.0**52
+            out = np.where(fine, np.copysign(np.floor(size + 0.5) / scale, x), x)
+            near = np.flatnonzero(fine & (np.abs(size - np.floor(size) - 0.5) <= 1e-9 + size * 1e-15))
+        out[near] = [float(Decimal(float(x[i])).quantize(unit, ROUND_HALF_UP)) for i in near]
+        # a missing value stays missing, and no zero is negative
+        return pd.Series(out + 0.0).where(v.notna().to_numpy(), None)
 
     return go
 
 
+def binned(df: DataFrame, x: str, y: str, bins: int = 256) -> DataFrame:
+    """``x, y, n``: the means of the pairs in each cell of a grid of ``bins`` x ``bins`` from 0 to the largest value, for charts."""
+    v = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    top = v.agg(F.greatest(F.max("x"), F.max("y"), F.lit(1e-300)).alias("top"))
+    at = lambda c: F.least(F.floor(F.col(c) / F.col("top") * bins), F.lit(bins - 1))
+    # one row of one figure: an aggregate without keys
+    return v.join(F.broadcast(top)).groupBy(at("x").alias("i"), at("y").alias("j")).agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.count("*").alias("n")).select("x", "y", "n")
+
+
 def nice_step(span: Column, steps: int) -> Column:
     """The smallest of 1, 2, 5, 10 times a power of ten that covers the span in about ``steps`` steps."""
     raw = span / steps

@@ -44,7 +44,9 @@ def greedy_nms(dets: DataFrame, threshold: float = 0.5, cell: float = 16.0, id:
     big = comp.groupBy("component").count().where(F.col("count") > fold).select("component")
     some_big = not big.isEmpty()
     small = ranked.join(big, "component", "left_anti") if some_big else ranked
-    near = both.groupBy(F.col("a").alias("node")).agg(F.collect_list("b").alias("nb"))
+    # neighbours are gathered for the components that are folded only, which bounds them
+    few = both.join(small.select(F.col("node").alias("a")), "a", "left_semi") if some_big else both
+    near = few.groupBy(F.col("a").alias("node")).agg(F.collect_list("b").alias("nb"))
     rows = small.join(near, "node").groupBy("component").agg(F.array_sort(F.collect_list(F.struct((-F.col("s")).alias("o"), F.col("node"), "nb"))).alias("rows"))
     kept = rows.select(F.explode(F.aggregate("rows", F.array().cast("array<bigint>"), lambda k, x: F.when(F.arrays_overlap(k, x["nb"]), k).otherwise(F.concat(k, F.array(x["node"]))))).alias("node"))
     if some_big:

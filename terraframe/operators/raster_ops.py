@@ -24,20 +24,22 @@ def chm(dsm: DataFrame, dtm: DataFrame, nodata: float | None = None) -> DataFram
 def bilinear(fine: DataFrame, coarse: DataFrame, ratio: float) -> DataFrame:
     """``fine`` (row, col) with ``ground``, the bilinear value of ``coarse`` (row, col, z) at the cell's centre.
 
-    One fine cell has up to four coarse neighbours: cells are exploded to them and joined by place. A
-    neighbour that is missing leaves its weight to the others; none at all gives null.
+    The four corners of each square of coarse centres are gathered once, on the coarse side; a fine cell joins its
+    square by one row. A neighbour that is missing leaves its weight to the others; none at all gives null.
     """
+    corners = [(i, j) for i in (0, 1) for j in (0, 1)]
+    c = coarse.select(F.col("row").cast("long").alias("r"), F.col("col").cast("long").alias("c"), F.col("z").cast("double").alias("z")).where("z is not null and not isnan(z)")
+    each = c.select(F.explode(F.array(*[F.struct((F.col("r") - i).alias("r0"), (F.col("c") - j).alias("c0"), F.lit(2 * i + j).alias("k"), "z") for i, j in corners])).alias("q")).select("q.*")
+    square = each.groupBy("r0", "c0").agg(*[F.max(F.when(F.col("k") == k, F.col("z"))).alias(f"z{k}") for k in range(4)])
     at = lambda c: (F.col(c) + F.lit(0.5)) / F.lit(float(ratio)) - F.lit(0.5)
     f = fine.select("row", "col").withColumn("fr", at("row")).withColumn("fc", at("col"))
-    f = f.withColumn("r0", F.floor("fr")).withColumn("c0", F.floor("fc"))
+    j = f.withColumn("r0", F.floor("fr")).withColumn("c0", F.floor("fc")).join(square, ["r0", "c0"], "left")
     wr, wc = F.col("fr") - F.col("r0"), F.col("fc") - F.col("c0")
-    four = F.array(*[F.struct((F.col("r0") + i).alias("r"), (F.col("c0") + j).alias("c"), ((wr if i else 1 - wr) * (wc if j else 1 - wc)).alias("w")) for i in (0, 1) for j in (0, 1)])
-    parts = f.select("row", "col", F.explode(four).alias("n")).where("n.w > 0")
-    c = coarse.select(F.col("row").cast("long").alias("cr"), F.col("col").cast("long").alias("cc"), F.col("z").cast("double").alias("z")).where("z is not null and not isnan(z)")
-    j = parts.join(c, (F.col("n.r") == F.col("cr")) & (F.col("n.c") == F.col("cc")), "left")
+    weights = [((wr if i else 1 - wr) * (wc if j else 1 - wc), F.col(f"z{2 * i + j}")) for i, j in corners]
+    value = sum((F.coalesce(w * z, F.lit(0.0)) for w, z in weights), F.lit(0.0))
     # the weights of neighbours that exist, brought to one
-    s = j.groupBy("row", "col").agg(F.sum(F.col("n.w") * F.col("z")).alias("s"), F.sum(F.when(F.col("z").isNotNull(), F.col("n.w"))).alias("w"))
-    return s.select("row", "col", F.try_divide("s", "w").alias("ground"))
+    weight = sum((F.when(z.isNotNull(), w).otherwise(F.lit(0.0)) for w, z in weights), F.lit(0.0))
+    return j.select("row", "col", F.when(weight > 0, value / weight).alias("ground"))
 
 
 HEIGHTS = ("max", "mean", "p95")

@@ -1,4 +1,4 @@
-"""Seeded rejection sampling of sample squares."""
+"""Seeded rejection sampling of sample squares, and samples of listings."""
 
 from __future__ import annotations
 
@@ -31,3 +31,13 @@ def accept(cands: DataFrame, n: int = 3, usable: Column | None = None) -> DataFr
     hits = lambda s, c: F.exists(s, lambda k: (c["xmin"] < k["xmax"]) & (c["xmax"] > k["xmin"]) & (c["ymin"] < k["ymax"]) & (c["ymax"] > k["ymin"]))
     chosen = F.aggregate("all", F.array().cast(kind), lambda s, c: F.when((F.size(s) >= n) | hits(s, c), s).otherwise(F.concat(s, F.array(c))))
     return every.select(F.posexplode(chosen).alias("i", "s")).select((F.col("i") + 1).alias("square_id"), "s.*")
+
+
+def head(df: DataFrame, order: str | list[str], n: int = 5) -> DataFrame:
+    """The first ``n`` rows in order: a top-k, no global sort."""
+    return df.orderBy(*([order] if isinstance(order, str) else order)).limit(n)
+
+
+def seeded(df: DataFrame, key: str, n: int = 4, seed: int = 42) -> DataFrame:
+    """``n`` random rows, the same for the same seed however the table is dealt: those with the least hash of ``key``."""
+    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)

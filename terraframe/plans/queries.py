@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from terraframe.functions import geometry as G
 from terraframe.functions import stats
 from terraframe.functions.prng import draws
+from terraframe.functions.text import xml_escape as escaped
 from terraframe.operators import matching, raster_ops, sampling
 from terraframe.operators.nms import greedy_nms
 from terraframe.operators.spatial_join import box_pairs, within_any
@@ -264,10 +265,11 @@ SELECT count(*) AS n, round(sum(area), 4) AS toplam, round(avg(area), 6) AS orta
     ),
 )
 def detection_summary(spark, sf_dir):
-    a = F.col("area")
-    return V.detections(spark, sf_dir).agg(
-        F.count("*").alias("n"), F.round(F.sum(a), 4).alias("toplam"), r6(F.avg(a)).alias("ortalama"), r6(F.avg(G.equivalent_diameter(a))).alias("ortalama_cap"), r6(F.min("conf")).alias("en_kucuk"), r6(F.max("conf")).alias("en_buyuk"), r6(F.avg("conf")).alias("ortalama_conf")
-    )
+    from terraframe.plans.jobs import summary
+
+    d = V.detections(spark, sf_dir)
+    s = summary(d.select(F.col("conf").alias("confidence"), F.col("area").alias("alan_m2"), G.equivalent_diameter(F.col("area")).alias("cap_m")))
+    return s.select("n", F.round("toplam_alan", 4).alias("toplam"), r6("ortalama_alan").alias("ortalama"), r6("ortalama_cap").alias("ortalama_cap"), r6("en_kucuk").alias("en_kucuk"), r6("en_buyuk").alias("en_buyuk"), r6("ortalama").alias("ortalama_conf"))
 
 
 @query(
@@ -590,12 +592,26 @@ def crs_transform(spark, sf_dir):
 
 @query(
     "mask_sigmoid_product",
-    "SELECT vec_id, round(1 / (1 + exp(-list_sum([CAST(embedding[i] AS DOUBLE) * ((i - 1) % 7 - 3) / 10.0::DOUBLE FOR i IN range(1, len(embedding) + 1)]))), 6) AS maske FROM embeddings",
+    "SELECT vec_id, round(1 / (1 + exp(-list_sum([CAST(embedding[i] AS DOUBLE) * ((i - 1) % 7 - 3) / 10.0::DOUBLE FOR i IN range(1, len(embedding) + 1)]))), 3) AS maske, 0.0::DOUBLE AS disi FROM embeddings",
 )
 def mask_sigmoid_product(spark, sf_dir):
-    w = F.transform("embedding", lambda x, i: x.cast("double") * (i % 7 - 3) / F.lit(10.0))
-    logit = F.aggregate(w, F.lit(0.0), lambda a, v: a + v)
-    return V.table(spark, sf_dir, "embeddings").select("vec_id", r6(1 / (1 + F.exp(-logit))).alias("maske"))
+    """Each vector as a detection's coefficients over flat prototypes: the mask inside its box and outside of it."""
+    import numpy as np
+    import pandas as pd
+
+    from terraframe.operators.vision import instance_mask
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for v in pdf["embedding"]:
+                protos = np.broadcast_to((((np.arange(len(v)) % 7) - 3) / 10)[:, None, None], (len(v), 8, 8))
+                m = instance_mask(np.asarray(v, np.float64), protos, np.array([8.0, 8.0, 24.0, 24.0]), 32, 32, 32, 1.0, 0, 0)
+                rows.append((float(m[16, 16]), float(m[2, 16])))
+            yield pd.DataFrame({"vec_id": pdf["vec_id"], "maske": [r[0] for r in rows], "disi": [r[1] for r in rows]})
+
+    e = V.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return e.mapInPandas(run, "vec_id long, maske double, disi double").select("vec_id", F.round("maske", 3).alias("maske"), "disi")
 
 
 @query("tile_box_nms", duck("SELECT id FROM kept", "detections", _KEPT))
@@ -673,17 +689,29 @@ def letterbox_query(spark, sf_dir):
     duck("SELECT r, c FROM (SELECT row // 2 AS r, col // 2 AS c, bool_and(v = 0) AS siyah, bool_and(v = 255) AS beyaz FROM (SELECT row, col, CASE WHEN z < 30 THEN 0 WHEN z > 50 THEN 255 ELSE z END AS v FROM dsm_cells) GROUP BY 1, 2) WHERE NOT siyah AND NOT beyaz", "dsm_cells"),
 )
 def blank_tile_filter(spark, sf_dir):
+    """Tiles of two by two cells through the test that a worker makes of a tile's samples."""
+    import numpy as np
+
+    from terraframe.operators.vision import is_blank
+
     v = F.when(F.col("z") < 30, F.lit(0.0)).when(F.col("z") > 50, F.lit(255.0)).otherwise(F.col("z"))
-    d = V.dsm_cells(spark, sf_dir).withColumn("v", v).groupBy(F.expr("row DIV 2").alias("r"), F.expr("col DIV 2").alias("c"))
-    return d.agg(F.bool_and(F.col("v") == 0).alias("s"), F.bool_and(F.col("v") == 255).alias("b")).where("not s and not b").select("r", "c")
+    tiles = V.dsm_cells(spark, sf_dir).withColumn("v", v).groupBy(F.expr("row DIV 2").alias("r"), F.expr("col DIV 2").alias("c")).agg(F.collect_list("v").alias("v"))
+
+    def run(batches):
+        for pdf in batches:
+            yield pdf.loc[[not is_blank(np.asarray(x)) for x in pdf["v"]], ["r", "c"]]
+
+    return tiles.mapInPandas(run, "r long, c long")
 
 
 @query("xml_escape", """SELECT p_partkey, replace(replace(replace(replace(p_name || ' <&"' || p_brand || '>', '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS metin FROM part""")
 def xml_escape(spark, sf_dir):
-    t = F.concat("p_name", F.lit(' <&"'), "p_brand", F.lit(">"))
-    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
-        t = F.replace(t, F.lit(a), F.lit(b))
-    return V.table(spark, sf_dir, "part").select("p_partkey", t.alias("metin"))
+    return V.table(spark, sf_dir, "part").select("p_partkey", escaped(F.concat("p_name", F.lit(' <&"'), "p_brand", F.lit(">"))).alias("metin"))
+
+
+@query("head_listing", "SELECT p_partkey, p_name FROM part ORDER BY p_name, p_partkey LIMIT 5")
+def head_listing(spark, sf_dir):
+    return sampling.head(V.table(spark, sf_dir, "part").select("p_partkey", "p_name"), ["p_name", "p_partkey"], 5)
 
 
 @query("conf_filter_commutes_with_nms", duck("SELECT id FROM kept WHERE conf >= 0.5::DOUBLE", "detections", _KEPT))
@@ -692,7 +720,10 @@ def conf_filter_commutes_with_nms(spark, sf_dir):
     return greedy_nms(V.detections(spark, sf_dir).where("conf >= 0.5D"), 0.5, CELL).select("id")
 
 
-@query("geotiff_chunks")
+@query(
+    "geotiff_chunks",
+    duck("SELECT CAST(r.r AS INTEGER) AS row, CAST(c.c AS INTEGER) AS col, round(CAST(CAST(coalesce(z, 0) AS FLOAT) AS DOUBLE), 4) AS z FROM range(0, 64) r(r) CROSS JOIN range(0, 64) c(c) LEFT JOIN dsm_cells d ON d.row = r.r AND d.col = c.c", "dsm_cells"),
+)
 def geotiff_chunks(spark, sf_dir):
     """The surface model written as a GeoTIFF and read back in chunks, cell by cell."""
     import numpy as np

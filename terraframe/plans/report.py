@@ -35,6 +35,15 @@ def trees(df: DataFrame, crs: str) -> str:
     return "\n".join([*out, RULE, ""])
 
 
+def detections(f: dict) -> str:
+    """The detection summary of jobs.summary()'s row."""
+    out = [RULE, "DETECTIONS", RULE, "", f"Trees: {f['n']}"]
+    if f["n"]:
+        out += [f"Total crown area: {f['toplam_alan']:.2f} m²", f"Mean crown area: {f['ortalama_alan']:.2f} m²", f"Mean crown diameter: {f['ortalama_cap']:.2f} m"]
+        out += [f"Confidence: {f['en_kucuk']:.3f} to {f['en_buyuk']:.3f}, mean {f['ortalama']:.3f}"]
+    return "\n".join([*out, RULE, ""])
+
+
 def accuracy(f: dict, iou: float, squares: bool) -> str:
     """The accuracy report of matching.accuracy()'s row."""
     out = [RULE, "ACCURACY BY TREE", RULE, ""]

@@ -107,3 +107,16 @@ def require(paths: dict[str, str], optional: dict[str, str] | None = None) -> di
     if missing:
         raise FileNotFoundError("missing inputs: " + "; ".join(missing))
     return {k: there(p) for k, p in (optional or {}).items()}
+
+
+def image_counts(spark: SparkSession, splits: dict[str, str], pattern: str = "*.{jpg,jpeg,png,tif,tiff}") -> DataFrame:
+    """``split, n, percent`` of the images in each split's folder; whole percents, rounded down. Files are listed, not read."""
+    files = lambda name, path: spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path).select(F.lit(name).alias("split"))
+    frame = spark.createDataFrame([(s,) for s in splits], "split string")
+    rows = None
+    for name, path in splits.items():
+        rows = files(name, path) if rows is None else rows.unionByName(files(name, path))
+    counts = frame.join(rows.groupBy("split").agg(F.count("*").alias("n")), "split", "left").select("split", F.coalesce("n", F.lit(0)).alias("n"))
+    total = counts.agg(F.sum("n").alias("total"))
+    # one row of one figure: an aggregate without keys
+    return counts.join(F.broadcast(total)).select("split", "n", F.coalesce(F.floor(F.try_divide(F.col("n") * 100, F.col("total"))), F.lit(0)).cast("int").alias("percent"))

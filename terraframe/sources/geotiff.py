@@ -271,6 +271,48 @@ def cells(chunks_: DataFrame) -> DataFrame:
     return chunks_.mapInArrow(run, "row int, col int, z double")
 
 
+def regridded(spark: SparkSession, fine: str, coarse: str, size: int = 512) -> DataFrame:
+    """Cells ``row, col, z, ground`` of the raster ``fine`` with the bilinear value of ``coarse`` at their centres; north-up rasters of one system.
+
+    A task reads a chunk of the one and, with a cell more on each side, what lies under it of the other: nothing is
+    shuffled. A neighbour that is no-data or outside leaves its weight to the others; none at all gives null.
+    """
+    a, _, c, _, e, f = GeoTiff(fine).transform
+
+    def under(own: GeoTiff, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        ta, _, tc, _, te, tf = own.transform
+        fr, fc = (y - tf) / te - 0.5, (x - tc) / ta - 0.5
+        r0, c0 = np.floor(fr).astype(int), np.floor(fc).astype(int)
+        top, left = max(0, r0.min()), max(0, c0.min())
+        h, w = min(own.height, r0.max() + 2) - top, min(own.width, c0.max() + 2) - left
+        if h <= 0 or w <= 0:
+            return np.full((len(y), len(x)), np.nan)
+        z = own.read(left, top, w, h)[:, :, 0].astype(np.float64)
+        ok = ~np.isnan(z) & (z != own.nodata if own.nodata is not None else True)
+        z, value, weight = np.where(ok, z, 0), 0.0, 0.0
+        for i in (0, 1):
+            for j in (0, 1):
+                r, k = r0 + i - top, c0 + j - left
+                there = ((r >= 0) & (r < h))[:, None] & ((k >= 0) & (k < w))[None, :]
+                at = np.ix_(np.clip(r, 0, h - 1), np.clip(k, 0, w - 1))
+                share = (fr - r0 if i else 1 - fr + r0)[:, None] * (fc - c0 if j else 1 - fc + c0)[None, :] * (there & ok[at])
+                value, weight = value + share * z[at], weight + share
+        with np.errstate(invalid="ignore", divide="ignore"):
+            return np.where(weight > 0, value / weight, np.nan)
+
+    def run(batches):
+        own = GeoTiff(coarse)
+        for b in batches:
+            for r in b.to_pylist():
+                z = np.frombuffer(r["data"], r["dtype"]).astype(np.float64)
+                rows, cols = np.arange(r["h"]) + r["y_off"], np.arange(r["w"]) + r["x_off"]
+                ground = under(own, c + (cols + 0.5) * a, f + (rows + 0.5) * e).ravel()
+                bad = np.isnan(z) | (z == r["nodata"] if r["nodata"] is not None else False)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(rows, len(cols)).astype(np.int32)), pa.array(np.tile(cols, len(rows)).astype(np.int32)), pa.array(z, mask=bad), pa.array(ground, mask=np.isnan(ground))], names=["row", "col", "z", "ground"])
+
+    return chunks(spark, fine, size).mapInArrow(run, "row int, col int, z double, ground double")
+
+
 def register(spark: SparkSession) -> None:
     """Makes ``spark.read.format("geotiff").load(path)`` give chunk rows; options: chunk, band."""
     from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition

@@ -264,3 +264,73 @@ def test_charts_and_text(spark):
     assert charts.scatter([1, 2], [1, 2], "t", "x", "y", "a\nb").count("<circle") == 2 and charts.line([0.2, 0.3], [5, 3], "t", "x", "y").count("<circle") == 2
     got = [r.s for r in spark.createDataFrame([(12345678.9,), (100.0,), (0.1,), (None,), (-2.5,)], "v double").select(shortest(F.col("v")).alias("s")).collect()]
     assert got == ["12345678.9", "100", "0.1", "", "-2.5"]
+
+
+def test_exact_rounding(spark):
+    from decimal import ROUND_HALF_UP, Decimal
+
+    from terraframe.functions import stats
+
+    vs = [1.005, 2.5, -2.5, 0.125, 1.115, 2.675, -1.005, 0.0, -0.001, 1e18, 123456.785, 0.615, None, 3.0, 1e-9]
+    got = [r.v for r in spark.createDataFrame([(v,) for v in vs], "v double").select(stats.exact_round(2)("v").alias("v")).collect()]
+    assert got == [None if v is None else float(Decimal(v).quantize(Decimal("0.01"), ROUND_HALF_UP)) + 0.0 for v in vs] and got[0] == 1.0
+
+
+def test_within_turned_square(spark):
+    """A square that is turned admits what is inside of it, not of its bounding box."""
+    ring = [(5.0, 0.0), (10.0, 5.0), (5.0, 10.0), (0.0, 5.0), (5.0, 0.0)]
+    sq = spark.createDataFrame([(0.0, 0.0, 10.0, 10.0, [ring])], "xmin double, ymin double, xmax double, ymax double, geom array<array<struct<x:double,y:double>>>")
+    pts = spark.createDataFrame([(1, 5.0, 5.0), (2, 1.0, 1.0), (3, 9.0, 6.5), (4, 7.0, 6.0)], "id int, x double, y double")
+    assert {r.id for r in within_any(pts, sq, "x", "y", 3.0, "geom").collect()} == {1, 4}
+    assert {r.id for r in within_any(pts, sq, "x", "y", 3.0).collect()} == {1, 2, 3, 4}
+
+
+def test_fit_cell(spark):
+    from terraframe.operators.spatial_join import fit_cell
+
+    df = spark.createDataFrame([(0.0, 0.0, float(i % 4 + 1), 2.0) for i in range(100)], "xmin double, ymin double, xmax double, ymax double")
+    assert fit_cell(df) == 8.0 and fit_cell(df.where("false")) > 0
+
+
+def test_regridded(spark, tmp_path):
+    """A plane comes back as it is; what lies outside or is no-data leaves its weight to the others."""
+    from terraframe.sources import geotiff
+
+    fine, coarse = str(tmp_path / "f.tif"), str(tmp_path / "c.tif")
+    geotiff.write(fine, np.ones((40, 30), np.float32), (0.5, 0.0, 100.0, 0.0, -0.5, 200.0), 32635, tile=16)
+    z = np.array([[2.0 * r + 3.0 * c for c in range(7)] for r in range(10)], np.float32)
+    z[9, 6] = -1
+    geotiff.write(coarse, z, (2.0, 0.0, 100.0, 0.0, -2.0, 200.0), 32635, nodata=-1)
+    got = {(r.row, r.col): r.ground for r in geotiff.regridded(spark, fine, coarse, 16).collect()}
+    assert len(got) == 1200
+    at = lambda i: (i + 0.5) / 4 - 0.5
+    assert all(abs(got[r, c] - (2 * at(r) + 3 * at(c))) < 1e-6 for r in range(2, 33) for c in range(2, 21))
+    assert got[0, 0] == 0 and got[39, 27] is None and got[39, 29] is None and abs(got[0, 10] - 3 * at(10)) < 1e-6
+
+
+def test_listings_and_tables(spark, tmp_path):
+    from terraframe.functions import stats
+    from terraframe.functions.text import xml, xml_escape
+    from terraframe.operators import sampling
+    from terraframe.plans import jobs, report
+    from terraframe.sources import documents
+
+    for name, n in (("train", 5), ("valid", 2)):
+        (tmp_path / name / "images").mkdir(parents=True)
+        for i in range(n):
+            (tmp_path / name / "images" / f"{i}.jpg").write_bytes(b"x")
+    (tmp_path / "train" / "notes.txt").write_text("no image")
+    (tmp_path / "empty").mkdir()
+    got = documents.image_counts(spark, {k: str(tmp_path / k) for k in ("train", "valid", "empty")}).collect()
+    assert {(r.split, r.n, r.percent) for r in got} == {("train", 5, 71), ("valid", 2, 28), ("empty", 0, 0)}
+    df = spark.range(50)
+    some = [r.id for r in sampling.seeded(df, "id", 4).collect()]
+    assert some == [r.id for r in sampling.seeded(df.repartition(7), "id", 4).collect()] and len(set(some)) == 4
+    assert [r.id for r in sampling.head(df, "id", 3).collect()] == [0, 1, 2]
+    jobs.write_metrics([("mAP50", 0.812345, 0.7)], spark, str(tmp_path / "m.csv"))
+    assert (tmp_path / "m.csv").read_text("utf-8-sig") == "Metrik,Box,Mask\nmAP50,0.8123,0.7\n"
+    text = "a<b>&\"'"
+    assert spark.createDataFrame([(text,)], "t string").select(xml_escape(F.col("t"))).first()[0] == xml(text) == "a&lt;b&gt;&amp;&quot;'"
+    pairs = spark.createDataFrame([(1.0, 2.0), (1.001, 2.001), (9.0, 10.0), (None, 1.0)], "a double, b double")
+    assert sorted((round(r.x, 2), r.n) for r in stats.binned(pairs, "a", "b", 16).collect()) == [(1.0, 2), (9.0, 1)]
+    assert "Trees: 0" in report.detections({"n": 0})
