@@ -359,3 +359,22 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op3_substring_dedup": op3_substring_dedup}
+ORACLE = {
+    "op3_substring_dedup": r"""
+WITH w AS (
+  SELECT doc_id, row_number() OVER () AS rid, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), p AS (
+  SELECT doc_id, rid, ws, unnest(range(1, len(ws) - 18)) AS pos FROM w WHERE len(ws) >= 20
+), n AS (
+  SELECT rid, pos, row_number() OVER (PARTITION BY array_to_string(ws[pos : pos + 19], ' ') ORDER BY doc_id, rid, pos) AS nth FROM p
+), gone AS (
+  SELECT DISTINCT rid, unnest(range(pos, pos + 20)) AS i FROM n WHERE nth > 1
+), u AS (
+  SELECT rid, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM w
+), k AS (
+  SELECT rid, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS kept FROM u ANTI JOIN gone USING (rid, i) GROUP BY rid
+)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(k.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN k USING (rid)
+""",
+}
