@@ -1,12 +1,15 @@
 """Optimal one-to-one assignment of predictions to references, by total IoU.
 
 Pairs without overlap add nothing and never pass the threshold, so components
-of the graph IoU > 0 are solved apart, each from its own edges. The threshold
-is applied after the assignment.
+of the graph IoU > 0 are solved apart, each from its own edges and in memory that
+grows with them; ties go to the smallest ids at any size. The threshold is
+applied after the assignment.
 """
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -14,75 +17,110 @@ from pyspark.sql import functions as F
 
 from terraframe.operators.components import _folder, _write, connected_components
 
-#: Cells of a dense matrix up to which exact ties are broken by the smallest ids.
-TIES = 400
+#: Reduced costs up to this count as nil, so that equal totals are told from unequal ones.
 EPS = 1e-12
 #: Edges that share a call.
 BUCKET = 20_000
 
 
-def hungarian(cost: np.ndarray) -> np.ndarray:
-    """For each row of a matrix with no more rows than columns the column of the least total cost (shortest augmenting paths)."""
-    n, m = cost.shape
-    u, v, match = np.zeros(n + 1), np.zeros(m + 1), np.zeros(m + 1, int)
-    for i in range(1, n + 1):
-        match[0], j0 = i, 0
-        least, prev, used = np.full(m + 1, np.inf), np.zeros(m + 1, int), np.zeros(m + 1, bool)
+class _Matching:
+    """The largest total gain over sparse edges: shortest augmenting paths with potentials, in memory that grows with the edges.
+
+    Each reference has edges to predictions and a place of its own, numbered after the predictions, that gains nothing.
+    """
+
+    def __init__(self, edges: list[list[tuple[int, float]]], predictions: int):
+        self.n, self.m = len(edges), predictions
+        self.edges = [sorted(e) + [(predictions + r, 0.0)] for r, e in enumerate(edges)]
+        self.u = [min(-g for _, g in e) for e in self.edges]
+        self.v = [0.0] * (predictions + self.n)
+        self.owner = [-1] * (predictions + self.n)
+        self.match = [-1] * self.n
+        for r in range(self.n):
+            self._augment(r)
+
+    def _augment(self, start: int) -> None:
+        far, via, done = {}, {}, {}
+        heap: list[tuple[float, int]] = []
+        row, base = start, 0.0
         while True:
-            used[j0] = True
-            i0 = match[j0]
-            gap = np.where(used[1:], np.inf, cost[i0 - 1] - u[i0] - v[1:])
-            better = gap < least[1:]
-            least[1:][better], prev[1:][better] = gap[better], j0
-            j1 = int(np.argmin(np.where(used[1:], np.inf, least[1:]))) + 1
-            d = least[j1]
-            u[match[used]] += d
-            v[used] -= d
-            least[~used] -= d
-            j0 = j1
-            if not match[j0]:
+            for c, g in self.edges[row]:
+                d = base + max(0.0, -g - self.u[row] - self.v[c])
+                if c not in done and d < far.get(c, float("inf")):
+                    far[c], via[c] = d, row
+                    heapq.heappush(heap, (d, c))
+            while heap[0][1] in done:
+                heapq.heappop(heap)
+            base, c = heapq.heappop(heap)
+            done[c] = base
+            if self.owner[c] < 0:
                 break
-        while j0:
-            match[j0] = match[prev[j0]]
-            j0 = prev[j0]
-    out = np.full(n, -1)
-    for j in range(1, m + 1):
-        if match[j]:
-            out[match[j] - 1] = j - 1
-    return out
-
-
-def best_pairs(gain: np.ndarray) -> list[tuple[int, int]]:
-    """(row, column) pairs of the largest total gain; pairs of no gain are left out."""
-    if gain.shape[0] > gain.shape[1]:
-        return sorted((r, c) for c, r in best_pairs(gain.T))
-    cols = hungarian(-gain)
-    return [(r, int(c)) for r, c in enumerate(cols) if c >= 0 and gain[r, c] > 0]
-
-
-def _total(gain: np.ndarray) -> float:
-    return sum(gain[r, c] for r, c in best_pairs(gain)) if gain.size else 0.0
-
-
-def tie_broken(gain: np.ndarray) -> list[tuple[int, int]]:
-    """best_pairs() of predictions (rows) by references (columns): of equal totals the one that gives the first reference the smallest prediction, then the next."""
-    if gain.size > TIES:
-        return best_pairs(gain)
-    out, free, left, best = [], list(range(gain.shape[0])), gain, _total(gain)
-    for c in range(gain.shape[1]):
-        rest, found = left[:, 1:], None
-        for k in range(len(free)):
-            if left[k, 0] > 0 and left[k, 0] + _total(np.delete(rest, k, axis=0)) >= best - EPS:
-                found = k
+            row = self.owner[c]
+        for k, d in done.items():
+            self.v[k] -= base - d
+            if self.owner[k] >= 0:
+                self.u[self.owner[k]] += base - d
+        self.u[start] += base
+        while True:
+            r = via[c]
+            left = self.match[r]
+            self.owner[c], self.match[r] = r, c
+            c = left
+            if r == start:
                 break
-        if found is None:
-            left = rest
-            continue
-        out.append((free[found], c))
-        best -= left[found, 0]
-        left = np.delete(rest, found, axis=0)
-        del free[found]
-    return sorted(out)
+
+    def least(self) -> list[int]:
+        """For each reference its prediction, or a number from ``m`` on: of equal totals the matching that gives the first reference the smallest prediction, then the next.
+
+        Every best matching lies on edges without reduced cost and covers the predictions with a price; a
+        swap along a cycle of such edges leads from one to the other, free places being one more node.
+        """
+        tight = [[c for c, g in e if -g - self.u[r] - self.v[c] <= EPS] for r, e in enumerate(self.edges)]
+        unpriced = [c for c in range(len(self.v)) if self.v[c] >= -EPS]
+        for r in range(self.n):
+            for c in tight[r]:
+                if c == self.match[r] or (self.owner[c] < 0 or self.owner[c] > r) and self._swap(r, c, tight, unpriced):
+                    break
+        return self.match
+
+    def _swap(self, r: int, c: int, tight: list[list[int]], unpriced: list[int]) -> bool:
+        """Gives ``c`` to reference ``r`` if the others can do without it; references up to ``r`` keep theirs otherwise."""
+        free, goal = -1, self.match[r]
+        start = self.owner[c]
+        came: dict[int, tuple[int, int]] = {start: (start, -1)}
+        queue = [start]
+        for node in queue:
+            for k in unpriced if node == free else tight[node]:
+                if k == goal:
+                    # the cycle closes: each node on the way takes what it reached
+                    while True:
+                        last, taken = came[node]
+                        self.owner[k] = node
+                        if node != free:
+                            self.match[node] = k
+                        if node == start:
+                            break
+                        node, k = last, taken
+                    self.owner[c], self.match[r] = r, c
+                    return True
+                nxt = self.owner[k]
+                if nxt not in came and (nxt == free or nxt > r):
+                    came[nxt] = (node, k)
+                    queue.append(nxt)
+        return False
+
+
+def best_pairs(t: np.ndarray, r: np.ndarray, gain: np.ndarray) -> list[int]:
+    """Places of the edges (prediction, reference, gain > 0) of the largest total; of equal totals the first reference gets the smallest prediction, then the next."""
+    if len(t) == 1:
+        return [0]
+    ts, i = np.unique(t, return_inverse=True)
+    rs, j = np.unique(r, return_inverse=True)
+    edges: list[list[tuple[int, float]]] = [[] for _ in rs]
+    for a, b, g in zip(i.tolist(), j.tolist(), gain.tolist(), strict=True):
+        edges[b].append((a, g))
+    match = _Matching(edges, len(ts)).least()
+    return [k for k, (a, b) in enumerate(zip(i.tolist(), j.tolist(), strict=True)) if match[b] == a]
 
 
 def assign(edges: DataFrame, t: str = "t", r: str = "r", iou: str = "iou") -> DataFrame:
@@ -101,11 +139,7 @@ def assign(edges: DataFrame, t: str = "t", r: str = "r", iou: str = "iou") -> Da
         cuts = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1], [True]]))
         out = []
         for lo, hi in zip(cuts, cuts[1:], strict=False):
-            ts, i = np.unique(t_[lo:hi], return_inverse=True)
-            rs, j = np.unique(r_[lo:hi], return_inverse=True)
-            gain = np.zeros((len(ts), len(rs)))
-            gain[i, j] = g[lo:hi]
-            out += [(ts[a], rs[b], gain[a, b]) for a, b in tie_broken(gain)]
+            out += [(t_[lo + k], r_[lo + k], g[lo + k]) for k in best_pairs(t_[lo:hi], r_[lo:hi], g[lo:hi])]
         return pd.DataFrame(out, columns=["t", "r", "iou"]).astype({"t": "int64", "r": "int64", "iou": "float64"})
 
     return of.groupBy("bucket").applyInPandas(solve, "t long, r long, iou double")
