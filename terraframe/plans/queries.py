@@ -720,29 +720,6 @@ def conf_filter_commutes_with_nms(spark, sf_dir):
     return greedy_nms(V.detections(spark, sf_dir).where("conf >= 0.5D"), 0.5, CELL).select("id")
 
 
-@query(
-    "geotiff_chunks",
-    duck("SELECT CAST(r.r AS INTEGER) AS row, CAST(c.c AS INTEGER) AS col, round(CAST(CAST(coalesce(z, 0) AS FLOAT) AS DOUBLE), 4) AS z FROM range(0, 64) r(r) CROSS JOIN range(0, 64) c(c) LEFT JOIN dsm_cells d ON d.row = r.r AND d.col = c.c", "dsm_cells"),
-)
-def geotiff_chunks(spark, sf_dir):
-    """The surface model written as a GeoTIFF and read back in chunks, cell by cell."""
-    import numpy as np
-
-    from terraframe.operators.components import _folder
-    from terraframe.sources import geotiff
-
-    a = np.zeros((64, 64), np.float32)
-    for r in V.dsm_cells(spark, sf_dir).collect():  # 64 x 64 cells
-        a[r["row"], r["col"]] = r["z"]
-    path = f"{_folder(spark)}/dsm.tif"
-    from pyarrow import fs
-
-    store, name = fs.FileSystem.from_uri(path.rpartition("/")[0])
-    store.create_dir(name, recursive=True)
-    geotiff.write(path, a, (0.5, 0.0, 100.0, 0.0, -0.5, 200.0), 32635, tile=16, deflate=True)
-    return geotiff.cells(geotiff.chunks(spark, path, 32)).select("row", "col", F.round("z", 4).alias("z"))
-
-
 @query("polygon_validity", duck("SELECT id, id % 2 = 1 AS gecerli, round(CASE WHEN id % 2 = 1 THEN area ELSE area / 2 END, 6) AS alan FROM detections", "detections"))
 def polygon_validity(spark, sf_dir):
     """Boxes and bow ties: rings that cross themselves are told apart, and their area goes by the even-odd rule."""

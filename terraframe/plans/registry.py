@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from terraframe.plans import queries
+from terraframe.plans import file_queries
 
-QUERIES = dict(queries.QUERIES)
-ORACLE = dict(queries.ORACLE)
+# both modules register with the same decorator
+QUERIES = dict(file_queries.QUERIES)
+ORACLE = dict(file_queries.ORACLE)
