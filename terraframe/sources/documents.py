@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from terraframe import schemas
 from terraframe.functions.geometry import from_geojson, to_geojson
+from terraframe.operators.components import _delete, _folder
 
 BOM = "﻿"
 
@@ -26,6 +27,27 @@ def write_text(path: str, parts: Iterable[str]) -> None:
             out.write(p.encode("utf-8"))
 
 
+def write_rows(path: str, head: str, lines: DataFrame, tail: str = "", lead: int = 0) -> None:
+    """One UTF-8 file of ``head``, the lines of a frame with one text column, in its order, and ``tail``; the first ``lead`` bytes of the lines are left out.
+
+    Tasks write the lines as parts in the shared folder; the driver joins the bytes of the parts and holds a block at a time.
+    """
+    base = _folder(lines.sparkSession)
+    lines.write.option("compression", "none").text(base)
+    shared, folder = _store(base)
+    parts = sorted(f.path for f in shared.get_file_info(fs.FileSelector(folder)) if f.is_file and f.base_name.startswith("part-"))
+    store, name = _store(path)
+    with store.open_output_stream(name) as out:
+        out.write(head.encode("utf-8"))
+        for p in parts:
+            with shared.open_input_stream(p) as f:
+                lead -= len(f.read(lead)) if lead else 0
+                while block := f.read(1 << 22):
+                    out.write(block)
+        out.write(tail.encode("utf-8"))
+    _delete(lines.sparkSession, base)
+
+
 def read_detections(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
     """(records with ``geom``, {crs, transform, bounds, pixel_size}) of a detections document."""
     doc = spark.read.schema(schemas.DETECTIONS_JSON).json(path, multiLine=True)
@@ -35,19 +57,17 @@ def read_detections(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
 
 
 def write_detections(df: DataFrame, path: str, crs: str, transform: dict, bounds: dict, pixel_size: float) -> None:
-    """The detections document of records with ``geom``, in order of id; rows stream through the driver."""
+    """The detections document of records with ``geom``, in order of id."""
     import json
 
     rows = df.select(F.to_json(F.struct("id", "confidence", "alan_m2", "cap_m", "merkez_x", "merkez_y", to_geojson(F.col("geom")).alias("geometry"))).alias("j"), "id").orderBy("id").select("j")
     tail = json.dumps({"crs": crs, "transform": transform, "bounds": bounds, "pixel_size": pixel_size}, ensure_ascii=False)[1:]
-    write_text(path, _joined('{"kayitlar": [', rows, "], " + tail))
+    _write_list(path, '{"kayitlar": [', rows, "], " + tail)
 
 
-def _joined(head: str, rows: DataFrame, tail: str):
-    yield head
-    for i, r in enumerate(rows.toLocalIterator()):
-        yield (",\n" if i else "\n") + r[0]
-    yield "\n" + tail
+def _write_list(path: str, head: str, rows: DataFrame, tail: str) -> None:
+    """JSON texts with commas between them: each line begins with one, which the first line loses."""
+    write_rows(path, head + "\n", rows.select(F.concat(F.lit(","), F.col(rows.columns[0]))), tail, lead=1)
 
 
 def features(df: DataFrame, geom: str = "geom", order: str | None = None) -> DataFrame:
@@ -62,7 +82,7 @@ def write_geojson(df: DataFrame, path: str, name: str, crs: str | None = None, g
     import json
 
     extra = f', "crs": {json.dumps({"type": "name", "properties": {"name": crs}})}' if crs else ""
-    write_text(path, _joined(f'{{"type": "FeatureCollection", "name": {json.dumps(name)}{extra}, "features": [', features(df, geom, order), "]}"))
+    _write_list(path, f'{{"type": "FeatureCollection", "name": {json.dumps(name)}{extra}, "features": [', features(df, geom, order), "]}")
 
 
 def read_geojson(spark: SparkSession, path: str, properties: str = "") -> DataFrame:
@@ -88,13 +108,7 @@ def write_csv(df: DataFrame, path: str, order: str | list[str] | None = None, bo
     quoted = [F.when(c.rlike('[",\n]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c) for c in cols]
     ordered = df.orderBy(*([order] if isinstance(order, str) else order)) if order else df
     lines = ordered.select(F.concat_ws(",", *quoted).alias("line"))
-    write_text(path, _lines((BOM if bom else "") + ",".join(df.columns), lines))
-
-
-def _lines(head: str, rows: DataFrame):
-    yield head + "\n"
-    for r in rows.toLocalIterator():
-        yield r[0] + "\n"
+    write_rows(path, (BOM if bom else "") + ",".join(df.columns) + "\n", lines)
 
 
 def require(paths: dict[str, str], optional: dict[str, str] | None = None) -> dict[str, bool]:

@@ -46,6 +46,42 @@ def test_geotiff_source(spark, tmp_path):
     assert geotiff.raster_info(spark, path).first().bounds.left == 500000.0
 
 
+def test_shapefile_splits(spark, tmp_path):
+    """Stretches by the index and the file read whole give the same ids and shapes, with null shapes between."""
+    import struct
+
+    ring = lambda k: [(k, 0.0), (k, 2.0), (k + 1.0, 2.0), (k + 1.0, 0.0), (k, 0.0)]
+    path = tmp_path / "n.shp"
+    shapefile.write(str(path), [{"geom": [ring(float(k))], "id": k} for k in range(40)], [("id", "int")])
+    shp, shx = path.read_bytes(), (tmp_path / "n.shx").read_bytes()
+    size = (len(shp) - 100) // 40
+    body, index, at = b"", b"", 100
+    for k in range(40):
+        for rec in ([struct.pack(">2i", 0, 2) + struct.pack("<i", 0)] if k % 3 == 0 else []) + [shp[100 + k * size : 100 + (k + 1) * size]]:
+            body, index, at = body + rec, index + struct.pack(">2i", at // 2, len(rec) // 2 - 4), at + len(rec)
+    path.write_bytes(shp[:100] + body)
+    (tmp_path / "n.shx").write_bytes(shx[:100] + index)
+    for split in (100, 1000, 1 << 20):
+        parts = shapefile.read(spark, str(path), split)
+        got = parts.select("id", F.element_at(F.element_at("geom", 1), 1)["x"].alias("x")).orderBy("id").collect()
+        assert [(r.id, r.x) for r in got] == [(k + 1, float(k)) for k in range(40)], split
+    assert len(shapefile._splits(str(path), 1000)) > 4
+    (tmp_path / "n.shx").unlink()
+    assert [r.id for r in shapefile.read(spark, str(path)).orderBy("id").collect()] == list(range(1, 41))
+
+
+def test_lists_in_parts(spark, tmp_path):
+    """Files joined from several parts, from empty ones and from none."""
+    import json
+
+    d = spark.range(0, 500, 1, 8).select(F.col("id"), F.array(F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in ((0, 0), (0, 1), (1, 1), (0, 0))])).alias("geom"))
+    for rows, want in ((d, list(range(500))), (d.where("id = 499"), [499]), (d.limit(0), [])):
+        documents.write_geojson(rows, str(tmp_path / "a.geojson"), "a")
+        assert [f["properties"]["id"] for f in json.loads((tmp_path / "a.geojson").read_text())["features"]] == want
+        documents.write_csv(rows.select("id"), str(tmp_path / "a.csv"), "id", bom=False)
+        assert (tmp_path / "a.csv").read_text() == "id\n" + "".join(f"{i}\n" for i in want)
+
+
 def test_shapefile(spark, tmp_path):
     outer = [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0), (0.0, 0.0)]
     hole = [(1.0, 1.0), (2.0, 1.0), (2.0, 2.0), (1.0, 2.0), (1.0, 1.0)]
