@@ -178,7 +178,9 @@ def _colliding(fp: np.ndarray, at: np.ndarray, used: np.ndarray, key: np.uint64,
     hit = np.concatenate([[False], same]) | np.concatenate([same, [False]])
     v, o = v[hit], o[hit]
     new = np.concatenate([[True], v[1:] != v[:-1]])
-    leader = np.minimum.reduceat(o, np.flatnonzero(new))[np.cumsum(new) - 1]
+    # the one nearest to the variant leads: of an odd distance's ball, whoever is linked through a variant is linked to it
+    near = np.bitwise_count(fp[o] ^ v).astype(np.int64) << 32 | o
+    leader = (np.minimum.reduceat(near, np.flatnonzero(new)) & 0xFFFFFFFF)[np.cumsum(new) - 1]
     clash = leader != o
     a, b = leader[clash], o[clash]
     ok = np.bitwise_count(fp[a] ^ fp[b]) <= distance

@@ -7,6 +7,7 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 import zstandard
@@ -222,6 +223,28 @@ def test_word_hashes_slices(monkeypatch):
     substring_dedup._slice_powers.cache_clear()
 
 
+@pytest.mark.parametrize("distance", [1, 2, 3, 4])
+def test_simhash_distances(distance):
+    """The forest of a few close fingerprints spans the classes of all their pairs, at even and odd distances."""
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        centre, bits = int(rng.integers(0, 1 << 63)), rng.choice(64, 9, replace=False)
+        fp = np.array(sorted({centre ^ sum(1 << int(b) for b in rng.choice(bits, int(rng.integers(0, 4)), replace=False)) for _ in range(7)}), np.uint64)
+        n = len(fp)
+        got = simhash._forest(pa.table({"fp": fp.view(np.int64), "used": np.zeros(n, np.int32), "key": np.zeros(n, np.int64)}), 0, (distance + 1) // 2, distance)
+        at = {v: k for k, v in enumerate(fp.view(np.int64).tolist())}
+
+        def classes(edges, n=n):
+            lab = list(range(n))
+            for _ in range(n):
+                for a, b in edges:
+                    lab[a] = lab[b] = min(lab[a], lab[b])
+            return lab
+
+        near = [(a, b) for a in range(n) for b in range(a) if int(fp[a] ^ fp[b]).bit_count() <= distance]
+        assert classes([(at[a], at[b]) for a, b in zip(got["fp"].to_pylist(), got["root"].to_pylist(), strict=True)]) == classes(near)
+
+
 # media
 
 
@@ -249,6 +272,24 @@ def test_media_tone():
     assert len(strongest) == 11 and all(40 in b for b in strongest.values())
 
 
+def test_media_feature_brute():
+    """Peaks and pairs by plain loops over a transform written out."""
+    rng = np.random.default_rng(11)
+    for n in (1, 2, 5):
+        x = rng.integers(0, 256, 576 * n).astype(np.uint8)
+        wave_ = np.exp(-2j * np.pi * np.outer(np.arange(289), np.arange(576)) / 576)
+        want = []
+        for f in range(1 + (len(x) - 576) // 288):
+            power = np.abs(wave_ @ ((x[f * 288 : f * 288 + 576].astype(float) - 128) * np.hanning(576))) ** 2
+            tops = [k for k in range(1, 288) if power[k] > power[k - 1] and power[k] >= power[k + 1] and power[k] > 1e-3]
+            want += [(f, k) for k in sorted(sorted(tops, key=lambda k: -power[k])[:3])]
+        times, bins = media.peaks(x.tobytes())
+        assert list(zip(times.tolist(), bins.tolist(), strict=True)) == want
+        codes = sorted((t, a << 13 | b << 3 | u - t) for t, a in want for u, b in want if t < u <= t + 4)
+        at, got = media.pairs(times, bins)
+        assert list(zip(at.tolist(), got.tolist(), strict=True)) == codes
+
+
 # WARC
 
 
