@@ -131,7 +131,6 @@ def test_simhash_links(spark, monkeypatch, small):
     # a task that splits its variants finds the same
     if small:
         monkeypatch.setattr(simhash, "VARIANTS", 1 << 8)
-        import pyarrow as pa
 
         one = pa.table({"fp": [signed(f) for f in fps], "used": pa.array([0] * len(fps), pa.int32()), "key": pa.array([0] * len(fps), pa.int64())})
         whole = simhash._forest(one, 0, 2, 4)
