@@ -7,18 +7,17 @@ from collections.abc import Iterable
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from terraframe import schemas
 from terraframe.functions.geometry import from_geojson, to_geojson
 from terraframe.operators.components import _delete, _folder
+from terraframe.sources import stretches
+from terraframe.sources.stretches import store as _store
 
 BOM = "﻿"
 
 
-def _store(path: str):
-    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
-
-
 def write_text(path: str, parts: Iterable[str]) -> None:
     """One UTF-8 file, replaced whole."""
     store, name = _store(path)
@@ -48,11 +47,28 @@ def write_rows(path: str, head: str, lines: DataFrame, tail: str = "", lead: int
     _delete(lines.sparkSession, base)
 
 
-def read_detections(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
-    """(records with ``geom``, {crs, transform, bounds, pixel_size}) of a detections document."""
-    doc = spark.read.schema(schemas.DETECTIONS_JSON).json(path, multiLine=True)
-    meta = doc.select("crs", "transform", "bounds", "pixel_size").first()
-    rows = doc.select(F.explode("kayitlar").alias("k")).select("k.id", "k.confidence", "k.alan_m2", "k.cap_m", "k.merkez_x", "k.merkez_y", from_geojson(F.col("k.geometry.coordinates")).alias("geom"))
+def _parsed(kind) -> Column:
+    """The JSON ``text`` of an element; from a generator, as what follows would be pushed below and parse it again."""
+    return F.explode(F.array(F.from_json("text", kind)))
+
+
+def read_detections(spark: SparkSession, path: str, split: int = stretches.SPLIT) -> tuple[DataFrame, dict]:
+    """(records with ``geom``, {crs, transform, bounds, pixel_size}) of a detections document.
+
+    Of a document of more than ``split`` bytes, tasks read stretches; a smaller one is read by one task.
+    """
+    fields = {f.name: f.dataType for f in StructType.fromDDL(schemas.DETECTIONS_JSON)}
+    keys = ["crs", "transform", "bounds", "pixel_size"]
+    root = stretches.root(spark, path, split)
+    found = root.elements(spark, "kayitlar") if root else None
+    if found is not None:
+        doc = spark.createDataFrame([(root.text(keys),)], "text string").select(F.from_json("text", StructType([StructField(k, fields[k]) for k in keys])).alias("d")).select("d.*")
+        records = found.select(_parsed(fields["kayitlar"].elementType).alias("k"))
+    else:
+        doc = spark.read.schema(schemas.DETECTIONS_JSON).json(path, multiLine=True)
+        records = doc.select(F.explode("kayitlar").alias("k"))
+    meta = doc.select(*keys).first()
+    rows = records.select("k.id", "k.confidence", "k.alan_m2", "k.cap_m", "k.merkez_x", "k.merkez_y", from_geojson(F.col("k.geometry.coordinates")).alias("geom"))
     return rows, meta.asDict(recursive=True) if meta else {}
 
 
