@@ -101,12 +101,21 @@ def write_geojson(df: DataFrame, path: str, name: str, crs: str | None = None, g
     _write_list(path, f'{{"type": "FeatureCollection", "name": {json.dumps(name)}{extra}, "features": [', features(df, geom, order), "]}")
 
 
-def read_geojson(spark: SparkSession, path: str, properties: str = "") -> DataFrame:
-    """The polygons of a feature collection with the ``properties`` named by a DDL list."""
+def read_geojson(spark: SparkSession, path: str, properties: str = "", split: int = stretches.SPLIT) -> DataFrame:
+    """The polygons of a feature collection with the ``properties`` named by a DDL list.
+
+    Of a document of more than ``split`` bytes, tasks read stretches; a smaller one is read by one task.
+    """
     shape = "struct<type:string,coordinates:array<array<array<double>>>>"
     fields = "struct<" + ",".join(f"{n}:{t}" for n, t in (p.split() for p in properties.split(",") if p.strip())) + ">" if properties.strip() else "struct<_none:string>"
-    doc = spark.read.schema(f"features array<struct<properties:{fields},geometry:{shape}>>").json(path, multiLine=True)
-    f = doc.select(F.posexplode("features").alias("i", "f"))
+    feature = f"struct<properties:{fields},geometry:{shape}>"
+    root = stretches.root(spark, path, split)
+    found = root.elements(spark, "features") if root else None
+    if found is not None:
+        f = found.select(F.col("i").cast("int").alias("i"), _parsed(feature).alias("f"))
+    else:
+        doc = spark.read.schema(f"features array<{feature}>").json(path, multiLine=True)
+        f = doc.select(F.posexplode("features").alias("i", "f"))
     cols = [F.col(f"f.properties.{p.split()[0]}") for p in properties.split(",") if p.strip()]
     return f.where("f.geometry is not null").select((F.col("i") + 1).alias("feature_no"), *cols, from_geojson(F.col("f.geometry.coordinates")).alias("geom"))
 

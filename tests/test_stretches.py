@@ -60,3 +60,15 @@ def test_detections_in_stretches(spark, tmp_path):
     assert rows.rdd.getNumPartitions() > 10 and whole.rdd.getNumPartitions() == 1
     assert rows.dtypes == whole.dtypes and meta == same and meta["crs"] == "EPSG:32635" and meta["transform"]["e"] == -0.5
     assert rows.orderBy("id").collect() == whole.orderBy("id").collect() and rows.count() == 300
+
+
+@pytest.mark.parametrize("how", [{}, {"indent": 1}])
+def test_features_in_stretches(spark, tmp_path, how):
+    """Features and their numbers of one document by many tasks; before, one task held the whole."""
+    path = tmp_path / "f.geojson"
+    path.write_text(json.dumps(nasty(80, 1), **how))
+    cols = "id long, s string"
+    rows, whole = documents.read_geojson(spark, str(path), cols, 1500), documents.read_geojson(spark, str(path), cols)
+    assert rows.rdd.getNumPartitions() > 10 and whole.rdd.getNumPartitions() == 1
+    assert rows.dtypes == whole.dtypes and rows.orderBy("id").collect() == whole.orderBy("id").collect()
+    assert [r.feature_no for r in rows.orderBy("id").collect()] == [k + 1 for k in range(80) if k % 11 != 5 and k % 13 != 7]
